@@ -41,6 +41,7 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 EMBED, DEPTH, SMALL, BLOCK, GAIN = 64, 3, 256, 256, 1.25
 #: Estimates from EMBED tokens have a deviation of at most 0.06: pairs under similarity - SLACK aren't looked at again.
 SLACK = 0.3
+FILTER_BITS = 25
 _SEEDS = mix(np.arange(1, EMBED + 1, dtype=np.uint64))
 
 
@@ -292,9 +293,8 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, re
     near = near.select("path", "b1", "b2", "id", "blk", "n", "embed", "nodes").repartition(parts, *order).sortWithinPartitions(*order)
     near = written(near.mapInArrow(_candidates(similarity), "path long, b1 int, b2 int, id long, blk int, nodes binary"), "near")
 
-    wanted = near.select(F.col("id").alias("doc_id")).distinct()
-    text = rows.join(wanted, "doc_id", "left_semi")
-    sets_of = _shingle_sets(text, words).join(classes.select("h1", "h2", F.col("id"), "n", "copies"), ["h1", "h2", "id"]).dropDuplicates(["id"])
+    # texts aren't shuffled: those whose id may be wanted give their sets where they are read
+    sets_of = _shingle_sets(rows.where("doc_id IS NOT NULL"), words, _filter(near)).join(classes.select("h1", "h2", F.col("id"), "n", "copies"), ["h1", "h2", "id"]).dropDuplicates(["id"])
     sets_of = written(sets_of.select("id", "n", "copies", "set"), "shingles")
     full = near.join(sets_of, "id").select("path", "b1", "b2", "id", "blk", "nodes", "n", "copies", "set")
     full = full.repartition(parts, *order).sortWithinPartitions(*order)
@@ -320,9 +320,33 @@ def _packed(own: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "id long, n long, embed binary, nodes binary")
 
 
-def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    def run(batches):
+def _place(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(np.uint64) + np.uint64(77)) >> np.uint64(64 - FILTER_BITS)
+
+
+def _filter(rows: DataFrame):
+    """A bitmap of 2 ** FILTER_BITS bits of the ids of rows, broadcast. Its size is fixed: with many more ids than bits it
+    lets all through, which costs time and changes no result."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            at = np.unique(_place(b.column(0).to_numpy()))
+            bit = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(bit)], names=["at", "bits"])
+
+    # at most 2 ** (FILTER_BITS - 6) numbers
+    found = rows.select("id").mapInArrow(words, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def _shingle_sets(rows: DataFrame, words: int, wanted) -> DataFrame:
+    def run(batches):
+        for whole in batches:
+            at = _place(whole.column(0).to_numpy())
+            hit = wanted.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+            b = whole.take(pa.array(np.flatnonzero(hit)))
             for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
                 found = [shingles(t, words).tobytes() for t in part.column(1).to_pylist()]
                 h = [xxhash.xxh3_128_intdigest(x) for x in found]
