@@ -5,7 +5,8 @@ read back from the file's data chunk. Features of a recording:
 - polyphase resampling by UP / DOWN: a windowed-sinc low pass, of which each output sample uses one phase's taps;
 - log-mel filterbanks over overlapped frames (FRAME samples, HOP apart, Hann window, N_FFT points, MELS bands);
 - segments by hysteresis on the frame energy: one starts where it rises over the high threshold and lasts until it
-  falls under the low one; thresholds are quantiles of the recording's own energy.
+  falls under the low one; the thresholds are HIGH and LOW of the way from the recording's 0.1 quantile of energy to
+  its 0.95 quantile. A recording without any change of energy is one segment.
 Each segment gives one tensor of fixed shape (TIME, MELS), the mean log-mel of TIME equal parts of it, and its time
 span in seconds. The tensors of a recording are one Arrow record batch (columns start, end, tensor: arrow.fixed_shape_
 tensor) in an IPC stream, so any Arrow reader gets them as tensors. A recording without a segment has none.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 RATE, UP, DOWN, TAPS = 8000, 1, 2, 8
 FRAME, HOP, N_FFT, MELS, TIME = 256, 128, 256, 24, 4
-HIGH, LOW = 0.75, 0.5
+HIGH, LOW = 0.6, 0.4
 PIECE = 1 << 16
 PAD = 64
 
@@ -113,7 +114,8 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     one, to where it falls under the low one."""
     if not len(energy):
         return []
-    low, high = np.quantile(energy, [LOW, HIGH])
+    floor, top = np.quantile(energy, [0.1, 0.95])
+    low, high = floor + LOW * (top - floor), floor + HIGH * (top - floor)
     over = np.concatenate([[False], energy >= low, [False]])
     starts, ends = np.flatnonzero(over[1:] & ~over[:-1]), np.flatnonzero(~over[1:] & over[:-1])
     loud = np.concatenate([[0], np.cumsum(energy >= high)])

@@ -196,12 +196,12 @@ class Identifier:
         for k, lang in enumerate(self.langs):
             own = np.array([x == lang for x in langs], bool) & (chars > 0)
             n, x = chars[own], h[own, k]
-            if own.sum() < 20:
+            if own.sum() < 4:
                 continue
             mean = float(np.median(x))
             deviation = float(np.median(np.abs(x - mean) * np.sqrt(n)) * 1.4826) * z
             beyond = x - mean - deviation / np.sqrt(n)
-            self.limits[lang] = mean, deviation, max(0.5, 2 * float(beyond.max()))
+            self.limits[lang] = mean, deviation, max(0.75, 2 * float(beyond.max()))
 
 
 def _counts(texts: list[str]) -> Counter:
