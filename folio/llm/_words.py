@@ -14,7 +14,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 class _Hashes(dict):
     """Hash of each word, kept for the words seen lately; memory is bounded by KEEP words."""
 
-    KEEP = 1 << 19
+    KEEP = 1 << 17
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.KEEP:

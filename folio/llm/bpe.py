@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 MAX_VOCAB = 2_000_000
 #: Memoised pre-tokens of a worker, and the longest that is memoised: together they bound its memory.
-KEEP, KEEP_CHARS = 1 << 18, 48
+KEEP, KEEP_CHARS = 1 << 17, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -52,7 +52,7 @@ _SLOT = np.array([0, _hash("<number>"), _hash("<name>"), _hash("<unit>"), 0], np
 class _Ids(dict):
     """A number for each token, and by that number its hash and kind. Bounded by KEEP tokens."""
 
-    KEEP = 1 << 19
+    KEEP = 1 << 17
 
     def __init__(self):
         self.hash, self.kind = np.zeros(1024, np.uint64), np.zeros(1024, np.int8)

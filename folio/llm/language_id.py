@@ -39,7 +39,8 @@ SAMPLE = 1500
 LETTERS = re.compile(r"[^\W\d_]+")
 START, END = "\x02", "\x03"
 _K = np.uint64(0x9E3779B97F4A7C15)
-KEEP = 1 << 18
+#: Words whose scores a worker keeps, and characters of texts whose words it holds at a time.
+KEEP, PART = 1 << 17, 1_000_000
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +175,20 @@ class Identifier:
         return chars, out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        """Language, score from 0 to 1 and whether it is rejected, for each text."""
+        """Language, score from 0 to 1 and whether it is rejected, for each text. The words of PART characters of texts
+        are held at a time."""
+        out: tuple[list, list, list] = [], [], []
+        part, size = [], 0
+        for k, t in enumerate(texts):
+            part.append(t)
+            size += len(t or "")
+            if size >= PART or k + 1 == len(texts):
+                for all_, some in zip(out, self._predict(part)):
+                    all_ += some
+                part, size = [], 0
+        return out
+
+    def _predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
         chars, h = self.entropies(texts)

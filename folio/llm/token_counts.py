@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from folio.llm.bpe import KEEP, KEEP_CHARS, read_ranks
 
 #: Characters whose pre-tokens share a trie: more of them share more prefixes and need more memory.
-PART = 4_000_000
+PART = 2_000_000
 
 
 class Counter:
