@@ -274,7 +274,8 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, re
     at = written(sets.select("id", "embed").mapInArrow(_children(similarity, runs(similarity, recall)), "path long, id long"), "paths")
     leaves = None
     for depth in range(1, DEPTH + 1):
-        sizes = at.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+        # as a table, so that both sides of the join are plain exchanges, whose large partitions Spark splits
+        sizes = written(at.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "node-sizes")
         held = written(at.join(sizes, "path"), "nodes")
         done = held if depth == DEPTH else held.where(F.col("size") <= small)
         leaves = done if leaves is None else leaves.unionByName(done)
