@@ -119,11 +119,18 @@ def hydration_prose(c: Column | str) -> Column:
     c = _c(c)
     n = F.length(c)
     return (
-        n.between(12, 600) & ~c.rlike(r"^(https?://|/|data:|#)") & c.contains(" ")
-        & (count_matches(c, r"[\p{L} ]") >= n * F.lit(0.75).cast("double")) & (count_matches(c, "_") <= 2) & (count_matches(c, r"\.") <= 3)
+        n.between(12, 600) & ~c.rlike(r"^(https?://|data:|[/#.{<])") & F.trim(c).contains(" ")
+        & (count_matches(c, rf"(?:\p{{L}}|{SPACE})") >= n * F.lit(0.75).cast("double")) & (count_matches(c, "_") <= 2) & (count_matches(c, r"\.") <= 3)
     )
 
 
+def hydration_label(c: Column | str) -> Column:
+    """Whether a payload string reads as a link's label."""
+    c = _c(c)
+    n = F.length(c)
+    return n.between(2, 80) & ~c.startswith("http") & ~c.rlike(r"[{}\[\]<>|\\]") & (count_matches(c, rf"(?:[\p{{L}}&'-]|{SPACE})") >= n * F.lit(0.85).cast("double"))
+
+
 def contact(c: Column | str) -> Column:
     return _c(c).rlike(r"(?i)^\s*(mailto|tel|sms):")
 
@@ -173,6 +180,14 @@ def html_escape(c: Column | str) -> Column:
     return c
 
 
+def markdown_escape(c: Column | str) -> Column:
+    """Marks that Markdown reads escaped: everywhere, at word edges only (_), or at the start of a line only."""
+    c = F.regexp_replace(_c(c), r"(?<![A-Za-z0-9\x{80}-\x{10ffff}])_|_(?![A-Za-z0-9\x{80}-\x{10ffff}])", r"\\_")
+    c = F.regexp_replace(c, r"([|*`\[\]])", r"\\$1")
+    c = F.regexp_replace(c, r"(?md)^([ \t]*)([#>+-])", r"$1\\$2")
+    return F.regexp_replace(c, r"(?md)^([ \t]*[0-9])([.)])", r"$1\\$2")
+
+
 def yaml_string(c: Column | str) -> Column:
     c = _c(c)
     quoted = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.functions import urls as U
+from folio.operators import emit as M
 from folio.operators import graph as G
+from folio.operators import reading_order as L
+from folio.operators import recover as V
 from folio.operators import retrieve as R
 from folio.plans import escalation as E
 from folio.plans import outcome as O
+from folio.sources import structured as S
 from folio.sources.html import extract
 from folio.streaming import capture as C
 
@@ -100,7 +104,7 @@ def page_sections(spark, sf_dir):
 
 @query()
 def page_signals(spark, sf_dir):
-    return extract(_t(spark, sf_dir, "pages")).drop("fragments", "links", "media", "forms", "latent", "json_ld", "og")
+    return extract(_t(spark, sf_dir, "pages")).drop("fragments", "links", "media", "forms", "latent", "json_ld", "payloads", "og")
 
 
 @query()
@@ -416,3 +420,108 @@ def stride_sample(spark, sf_dir):
 @query("SELECT doc_id, CASE WHEN length(text) > 80 THEN trim(substr(text, 1, 80)) || '…' ELSE text END AS cut, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;') AS escaped FROM documents")
 def truncate_escape(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.truncate("text", 80).alias("cut"), T.html_escape("text").alias("escaped"))
+
+
+# Reading order, rendering and what lies outside the visible blocks.
+
+def _extracted(spark, sf_dir):
+    return extract(_t(spark, sf_dir, "pages"))
+
+
+@query()
+def page_reading_order(spark, sf_dir):
+    return L.reading_order(L.laid_out(G.fragments(_extracted(spark, sf_dir))))
+
+
+@query("""WITH i AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_orderkey::DOUBLE AS lo, l_orderkey + 4 * l_quantity::DOUBLE AS hi FROM lineitem),
+g AS (SELECT *, greatest(coalesce(lo - max(hi) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS gap FROM i),
+w AS (SELECT *, max(gap) OVER (PARTITION BY l_suppkey) AS widest FROM g),
+p AS (SELECT l_suppkey, lo, hi, sum((widest >= 24 AND gap >= greatest(widest * 0.9::DOUBLE, widest - 4, 24))::INT) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS part FROM w)
+SELECT l_suppkey, part::BIGINT AS part, count(*) AS n, min(lo) AS first, max(hi) AS last FROM p GROUP BY 1, 2""")
+def interval_partition(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").cast("double").alias("lo"), (F.col("l_orderkey") + 4 * F.col("l_quantity").cast("double")).alias("hi"))
+    return L.interval_groups(rows, "l_suppkey", "lo", "hi", 24.0).groupBy("l_suppkey", "part").agg(F.count("*").alias("n"), F.min("lo").alias("first"), F.max("hi").alias("last"))
+
+
+@query()
+def page_rendered(spark, sf_dir):
+    return M.rendered(G.blocks(_extracted(spark, sf_dir)))
+
+
+@query()
+def page_furniture(spark, sf_dir):
+    return M.furniture(G.blocks(_extracted(spark, sf_dir))).select("page_id", "ord", "region", "text")
+
+
+@query()
+def page_media(spark, sf_dir):
+    return V.media(_extracted(spark, sf_dir))
+
+
+@query()
+def page_latent(spark, sf_dir):
+    return V.latent(_extracted(spark, sf_dir)).select("page_id", "latent_id", "text", "tag", "reason", "control")
+
+
+@query()
+def page_gaps(spark, sf_dir):
+    return V.page_gaps(_extracted(spark, sf_dir))
+
+
+@query()
+def page_facts(spark, sf_dir):
+    return S.facts(_extracted(spark, sf_dir))
+
+
+@query()
+def page_faq(spark, sf_dir):
+    return S.faq(_extracted(spark, sf_dir))
+
+
+@query()
+def page_payload_blocks(spark, sf_dir):
+    found = _extracted(spark, sf_dir)
+    return V.payload_blocks(found, G.blocks(found))
+
+
+@query()
+def page_payload_links(spark, sf_dir):
+    found = _extracted(spark, sf_dir)
+    return V.payload_links(found, G.links(found))
+
+
+@query()
+def page_served_text(spark, sf_dir):
+    found = _extracted(spark, sf_dir)
+    return V.served_text(found, G.blocks(found))
+
+
+@query(f"""SELECT doc_id, pos, length(line) BETWEEN 12 AND 600 AND NOT regexp_matches(line, '^(https?://|data:|[/#.{{<])') AND contains(trim(line), ' ')
+ AND {_n('line', '(?:' + chr(92) + 'p{L}|' + T.SPACE + ')')} >= length(line) * 0.75::DOUBLE AND {_n('line', '_')} <= 2 AND {_n('line', chr(92) + '.')} <= 3 AS prose FROM {_LINES}""")
+def prose_lines(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "pos", T.hydration_prose("line").alias("prose"))
+
+
+_KEYS = "list_filter(list_transform(regexp_split_to_array(lower({c}), '[.!?·\n]'), lambda x: {t}), lambda x: length(x) >= 24)"
+
+
+@query(f"""WITH b AS (SELECT DISTINCT unnest({_KEYS.format(c=_collapse(f"regexp_replace(text, {_q(T.STRIPPED)}, '', 'g')"), t=_collapse('x'))}) AS k FROM benchmark),
+d AS (SELECT doc_id, unnest({_KEYS.format(c=_collapse(_STRIPPED), t=_collapse('x'))}) AS k FROM documents)
+SELECT doc_id, count(*) AS proof FROM d SEMI JOIN b USING (k) GROUP BY doc_id""")
+def adoption_proof(spark, sf_dir):
+    known = _t(spark, sf_dir, "benchmark").select(F.explode(V.adoption_keys("text")).alias("k")).distinct()
+    keys = _t(spark, sf_dir, "documents").select("doc_id", F.explode(V.adoption_keys("text")).alias("k"))
+    return keys.join(known, "k", "left_semi").groupBy("doc_id").agg(F.count("*").alias("proof"))
+
+
+def _stem(w: str) -> str:
+    arms = " ".join(f"WHEN strlen({w}) > {len(s) + 3} AND suffix({w}, '{s}') THEN left({w}, length({w}) - {len(s)})" for s in ("ing", "es", "ed", "s"))
+    return f"CASE {arms} ELSE {w} END"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, text, lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS said FROM conversations),
+w AS (SELECT *, {_FACTS.format(c=_collapse('text'), s="','".join(T.STOP_WORDS))} AS ws FROM t WHERE said IS NOT NULL AND text IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN len(ws) = 0 THEN contains(said, lower(text)) ELSE len(list_filter(ws, lambda w: contains(said, w) OR contains(said, {_stem('w')}))) / len(ws)::DOUBLE >= 0.7::DOUBLE END AS present FROM w""")
+def fact_coverage(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").withColumn("said", F.lower(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))))
+    return rows.where("said IS NOT NULL AND text IS NOT NULL").select("conv_id", "turn", T.fact_present(F.col("said"), F.col("text")).alias("present"))

@@ -22,6 +22,7 @@ SKIP = frozenset("script style noscript template head link meta svg iframe objec
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 BLOCK = frozenset("div p section article main aside header footer nav li dd dt blockquote pre td th tr figure figcaption h1 h2 h3 h4 h5 h6 ul ol dl table form fieldset address hgroup details summary".split())
 CLOSES_P = BLOCK - {"td", "th", "tr"} | {"hr", "menu", "center", "dir"}
+PAYLOADS = ("__NUXT_DATA__", "__NEXT_DATA__")
 SECTIONING = frozenset("article section aside nav main".split())
 HINTS = ("nav", "menu", "header", "footer", "sidebar", "breadcrumb", "cookie", "banner", "advert", "promo", "social", "share", "subscribe", "newsletter", "related", "recommend", "comment", "pagination", "skip-link")
 SIZES = {"h1": (32.0, 700), "h2": (24.0, 700), "h3": (18.72, 700), "h4": (16.0, 700), "h5": (13.28, 700), "h6": (10.72, 700), "strong": (16.0, 700), "b": (16.0, 700), "small": (13.0, 400), "figcaption": (13.0, 400), "cite": (13.0, 400), "code": (15.0, 400), "pre": (15.0, 400), "kbd": (15.0, 400), "samp": (15.0, 400)}
@@ -239,7 +240,7 @@ class Sheet:
 
 class Extractor:
     def __init__(self, html: str):
-        self.out = {k: [] for k in ("fragments", "links", "media", "forms", "latent", "json_ld")}
+        self.out = {k: [] for k in ("fragments", "links", "media", "forms", "latent", "json_ld", "payloads")}
         self.signals = Counter()
         self.html, self.title, self.lang, self.og = html, "", "", {}
         self.description = ""
@@ -256,6 +257,8 @@ class Extractor:
     def _scan(self, n: Node, sectioned: bool, marks) -> None:
         if n.tag == "style":
             self.sheet.add("".join(c for c in n.children if isinstance(c, str)))
+        if n.tag == "script" and n.attrs.get("type", "").strip().lower() == "application/json" and n.attrs.get("id", "").strip() in PAYLOADS:
+            self.out["payloads"].append("".join(c for c in n.children if isinstance(c, str)))
         if n.tag == "link" and "stylesheet" in n.attrs.get("rel", "").lower().split():
             self.signals["sheets"] += 1
         if n.tag in marks and not sectioned:
@@ -316,7 +319,7 @@ class Extractor:
                 self.out["json_ld"].append(body)
             return
         self.signals["script_bytes"] += len(body.encode()) + 2048 * bool(n.attrs.get("src"))
-        if n.attrs.get("id") in ("__NEXT_DATA__", "__NUXT_DATA__") or "__INITIAL_STATE__" in body or "__NUXT__" in body:
+        if n.attrs.get("id") in PAYLOADS or "__INITIAL_STATE__" in body or "__NUXT__" in body:
             self.hydration = True
 
     def check_noscript(self, n: Node) -> None:
@@ -433,7 +436,7 @@ SCHEMA = (
     f"page_id long, url string, title string, description string, lang string, og map<string,string>, fragments {_FRAGMENT}, "
     "links array<struct<seq:int,href:string,label:string,landmark:string>>, media array<struct<seq:int,src:string,alt:string,title:string,decorative:boolean>>, "
     "forms array<struct<seq:int,action:string,method:string,landmark:string,fields:array<struct<name:string,type:string,required:boolean>>>>, "
-    "latent array<struct<seq:int,text:string,tag:string,reason:string,control:string>>, json_ld array<string>, "
+    "latent array<struct<seq:int,text:string,tag:string,reason:string,control:string>>, json_ld array<string>, payloads array<string>, "
     + ", ".join(f"{s} long" for s in _SIGNALS) + ", complex_rules long, html_bytes long, noscript boolean, hydration boolean"
 )
 
