@@ -240,10 +240,12 @@ def groups(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # as tables, so that joins read plain exchanges, whose large partitions Spark splits
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "leasts")
         e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        e = written(e, "edges")
         # small-star: neighbours that are less, and the node itself, to the least of them
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(e.groupBy("u").agg(F.min("v").alias("m")), "leasts")
         star = e.join(low, "u").select("u", "v", "m")
         e = star.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         e = written(e, "edges")
