@@ -180,7 +180,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     starts = written(rows.mapInArrow(_starts(min_words), "g long, doc_id long, pos int"), "starts")
-    twice = starts.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("g")
+    # as a table, so that the join reads plain exchanges, whose large partitions Spark splits
+    twice = written(starts.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("g"), "twice")
     places = written(starts.join(twice, "g", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "places")
     contexts = rows.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(_contexts, "g long, doc_id long, pos int, after binary, before binary")
     contexts = written(contexts, "suffixes")
