@@ -9,9 +9,15 @@ First the grams alone are counted; suffixes whose gram stands in one document on
 words after and before the start are fetched (RIGHT and LEFT words, two bytes each, enough to tell a run of min_words
 around the start and to reach the next retained suffix). They are range-partitioned and sorted by (gram, words after,
 document, place), a suffix array in pieces: a gram that a third of all documents share fills as many partitions as it
-needs. Each partition streams its part: a suffix is compared with the NEAR ones before it and with the last one of
-another document, rightwards over the words after and leftwards over those before. A match of min_words or more gives
-a span in both documents. The ends of neighbouring partitions, a row or two of each, are compared on the driver.
+needs, one of NEAR + 1 suffixes or fewer stays in one. Each partition streams its part: a suffix is compared with the
+NEAR ones before it and with the last one of another document, rightwards over the words after and leftwards over those
+before. A match of min_words or more gives a span in both documents. The ends of neighbouring partitions, a row or two
+of each, are compared on the driver.
+
+That compares all suffixes of a gram with NEAR + 1 of them or fewer. For a hot gram, one with more, suffixes that share
+words before it may lie far apart in that order. So all runs of min_words words round its suffixes that aren't in a span
+yet are looked up by their hash among all such runs, those in spans too: a bitmap of fixed size, broadcast, drops runs
+that nobody looks for, and the rest are pre-aggregated to the least and greatest doc_id of a hash.
 
 Result: one row for each document with a passage of at least min_words words that another document has too: doc_id,
 n_spans, n_words (covered), spans (array of struct start, end in words, end exclusive; joined where they touch) and
@@ -31,6 +37,7 @@ from pyspark.sql import functions as F
 
 from folio.llm._shared import written
 from folio.llm._words import grams, word_hashes
+from folio.llm.ngram_join import _filter, _place
 
 MIN_WORDS, GRAM, RIGHT, LEFT, NEAR = 50, 16, 64, 48, 3
 _SPANS = "doc_id long, start int, stop int, partner long"
@@ -66,9 +73,9 @@ def _starts(min_words: int):
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                h = word_hashes(text)
+            out: list[list] = [[], [], [], [], [], []]
+            for doc_id, text, at, hot in zip(*(b.column(i).to_pylist() for i in range(4))):
+                h, hot = word_hashes(text), set(hot)
                 g = grams(h, GRAM).astype(np.int64)
                 w = (h >> np.uint64(48)).astype(">u2").tobytes()  # big-endian: bytes sort as the words do
                 back = (h[::-1] >> np.uint64(48)).astype(">u2").tobytes()
@@ -80,7 +87,38 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         out[2].append(p)
                         out[3].append(w[2 * p : 2 * (p + RIGHT)])
                         out[4].append(back[2 * (n - p) : 2 * (n - p + LEFT)])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["g", "doc_id", "pos", "after", "before"])
+                        out[5].append(p in hot)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary()), pa.array(out[5], pa.bool_())], names=["g", "doc_id", "pos", "after", "before", "hot"])
+
+
+def _windows(min_words: int, wanted=None):
+    """Runs of min_words words round the hot suffixes of (doc_id, text, hot, found): those in no span of `found`, or with
+    `wanted`, those in that bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                ws, ids, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+                for doc_id, text, hot, found in zip(*(b.column(i).to_pylist() for i in range(4))):
+                    h = word_hashes(text)
+                    if len(h) < min_words:
+                        continue
+                    g = grams(h, min_words)
+                    s = np.unique(np.subtract.outer(np.array(hot, np.int64), np.arange(min_words - GRAM + 1)))
+                    s = s[(s >= 0) & (s < len(g))]
+                    if wanted is not None:
+                        k = _place(g[s])
+                        s = s[(wanted.value[k >> np.uint64(6)] >> (k & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                    elif found:
+                        spans = np.array(_union(found), np.int64)
+                        k = np.searchsorted(spans[:, 0], s, side="right") - 1
+                        s = s[(k < 0) | (s + min_words > spans[k, 1])]
+                    ws.append(g[s].astype(np.int64))
+                    ids.append(np.full(len(s), doc_id, np.int64))
+                    at.append(s.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ws, ids, at)], names=["id", "doc_id", "start"])
+
+    return run
 
 
 def _same(words: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -158,21 +196,38 @@ def _neighbours(min_words: int):
     return run
 
 
+def _union(found: list[dict]) -> list[list[int]]:
+    spans: list[list[int]] = []
+    for x in sorted(found, key=lambda x: (x["start"], x["stop"])):
+        if spans and x["start"] <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], x["stop"])
+        else:
+            spans.append([x["start"], x["stop"]])
+    return spans
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list] = [[], [], [], [], []]
         for doc_id, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            spans: list[list[int]] = []
-            for x in sorted(found, key=lambda x: (x["start"], x["stop"])):
-                if spans and x["start"] <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], x["stop"])
-                else:
-                    spans.append([x["start"], x["stop"]])
+            spans = _union(found)
             for o, x in zip(out, (doc_id, len(spans), sum(e - s for s, e in spans), [{"start": s, "end": e} for s, e in spans], sorted({x["partner"] for x in found}))):
                 o.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(out[4], pa.list_(pa.int64()))], names=["doc_id", "n_spans", "n_words", "spans", "partners"])
 
 
+def _far(held: DataFrame, spans: DataFrame, min_words: int) -> DataFrame:
+    """Spans, one a run of min_words words, of runs round hot suffixes that `spans` doesn't have."""
+    hot = held.where(F.size("hot") > 0)
+    had = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
+    kinds = "id long, doc_id long, start int"
+    left = written(hot.join(had, "doc_id", "left").select("doc_id", "text", "hot", "found").mapInArrow(_windows(min_words), kinds), "left-runs")
+    every = hot.select("doc_id", "text", "hot", F.lit(None).cast("int").alias("found")).mapInArrow(_windows(min_words, _filter(left)), kinds)
+    both = written(every.groupBy("id").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b"), "shared-runs")
+    partner = F.when(F.col("a") != F.col("doc_id"), F.col("a")).otherwise(F.col("b"))
+    return left.join(both, "id").select("doc_id", "start", (F.col("start") + min_words).alias("stop"), partner.alias("partner"))
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_spans, n_words, spans, partners of each document that shares a passage with another."""
     if not GRAM < min_words <= RIGHT or min_words - GRAM > LEFT:
@@ -181,13 +236,18 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     starts = written(rows.mapInArrow(_starts(min_words), "g long, doc_id long, pos int"), "starts")
     # as a table, so that the join reads plain exchanges, whose large partitions Spark splits
-    twice = written(starts.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("g"), "twice")
-    places = written(starts.join(twice, "g", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "places")
-    contexts = rows.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(_contexts, "g long, doc_id long, pos int, after binary, before binary")
-    contexts = written(contexts, "suffixes")
+    twice = starts.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.count("*") > NEAR + 1).alias("hot"))
+    twice = written(twice.where("a != b").select("g", "hot"), "twice")
+    at = [F.collect_set("pos").alias("at"), F.collect_set(F.when(F.col("hot"), F.col("pos"))).alias("hot")]
+    places = written(starts.join(twice, "g").groupBy("doc_id").agg(*at), "places")
+    # texts are shuffled once: those with a repeated gram are a table that later passes read
+    held = written(rows.join(places, "doc_id").select("doc_id", "text", "at", "hot"), "held-texts")
+    contexts = written(held.mapInArrow(_contexts, "g long, doc_id long, pos int, after binary, before binary, hot boolean"), "suffixes")
     order = ["g", "after", "doc_id", "pos"]
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = contexts.repartitionByRange(parts, "g", "after", "doc_id").sortWithinPartitions(*order)
+    # only a hot gram may go on in the next partition
+    cut = [F.when(F.col("hot"), F.col(x)) for x in ("after", "doc_id")]
+    sorted_ = contexts.repartitionByRange(parts, "g", *cut).sortWithinPartitions(*order)
     kinds = "kind int, doc_id long, start int, stop int, partner long, after binary, before binary"
     found = written(sorted_.mapInArrow(_neighbours(min_words), kinds).withColumn("part", F.spark_partition_id()), "suffix-spans")
     # two rows of each partition, whatever the data
@@ -200,5 +260,6 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             edge += zip(*(x.tolist() for x in _matches(c, 1, min_words)))
     spans = found.where("kind = 0").select("doc_id", "start", "stop", "partner")
     spans = spans.unionByName(spark.createDataFrame(edge, _SPANS))
+    spans = spans.unionByName(_far(held, spans, min_words))
     by_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop", "partner")).alias("found"))
     return by_doc.mapInArrow(_merged, "doc_id long, n_spans long, n_words long, spans array<struct<start:int,end:int>>, partners array<long>")

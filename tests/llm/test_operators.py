@@ -135,6 +135,19 @@ def test_line_dedup_hot_lines_over_many_partitions(spark):
     assert all(r.n_lines == 3 and r.n_dropped == 2 for r in out)
 
 
+def test_suffix_dedup_before_a_hot_passage(spark):
+    rng = random.Random(4)
+    own = lambda k: [f"v{rng.randrange(10**9)}" for _ in range(k)]
+    hot = own(47)
+    texts = [own(20) + hot + own(20) for _ in range(600)]
+    for a in range(0, 80, 2):
+        both = own(5 if a < 40 else 12)
+        texts[a], texts[a + 1] = (own(10) + both + hot + own(20) for _ in range(2))
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: ([(s.start, s.end) for s in r.spans], r.partners) for r in suffix_dedup.repeats(rows).collect()}
+    assert got == {a: ([(10, 62 if a < 40 else 69)], [a ^ 1]) for a in range(80)}
+
+
 def test_suffix_dedup(docs, texts):
     n = 50
     h = {d: word_hashes(t) for d, t in texts.items()}
