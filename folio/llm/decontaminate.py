@@ -8,7 +8,7 @@ Windows of WINDOW template words (of the whole item, if that is shorter) of docu
 bitmap of fixed size over the items' window hashes, broadcast, first drops document windows that no item has; its
 false matches fall away in the join, which is a shuffle on the window hash whatever the size of the benchmark.
 
-For a document and an item the windows are aligned along the shift between them. Slots are checked for consistency:
+For a document and an item the windows are aligned along each shift between them. Slots are checked for consistency:
 over the aligned windows each slot value of the item must stand for one value in the document, and the other way
 round; windows that contradict the mapping of the rest don't count. The pair is reported as `verbatim` when windows
 with equal values cover at least RUN words in a row (the whole item, if it is shorter) or half of the item's windows,
@@ -143,32 +143,43 @@ def judge(words: int, hits: list[dict]) -> tuple[str, int, float] | None:
     slot of each window that both have."""
     size = hits[0]["size"]
     total = max(1, words - size + 1)
-    shifts = Counter(h["pos"] - h["at"] for h in hits)
+    by: dict[int, list] = {}
+    for h in hits:
+        by.setdefault(h["pos"] - h["at"], []).append((h["at"], h["value"] == h["found"], h["slot"], h))
+    plain: dict[tuple[int, bytes], set] = {}
+    for at, _, slot, h in (x for xs in by.values() for x in xs):
+        if (at, slot) not in plain:
+            plain[at, slot] = set(np.frombuffer(h["value"], np.uint64)[~np.frombuffer(slot, bool)].tolist())
     best = None
-    # an occurrence has most of its windows on one shift; each window of the document lies on few
-    for shift, n in sorted(shifts.items(), key=lambda x: (-x[1], x[0]))[:8]:
-        near = sorted((h for h in hits if abs(h["pos"] - h["at"] - shift) <= SHIFT), key=lambda h: (abs(h["pos"] - h["at"] - shift), h["at"]))
-        there, back, held = {}, {}, {}
+    # every shift is judged; most are told by the windows near them, without trying slots
+    for shift, _ in sorted(by.items(), key=lambda x: (-len(x[1]), x[0])):
+        near = [x for d in range(-SHIFT, SHIFT + 1) for x in by.get(shift + d, ())]
+        equal = {x[0] for x in near if x[1]}
+        run = top = 0
+        for at in range(total if equal else 0):
+            run = run + 1 if at in equal else 0
+            top = max(top, run)
+        verbatim = bool(top) and (top + size - 1 >= min(RUN, words) or len(equal) / total >= 0.5)
+        if not verbatim and (best and best[0] == "verbatim" or len({x[0] for x in near}) / total < COVER or len(set().union(*(plain[k] for k in {(x[0], x[2]) for x in near}))) < FIXED):
+            continue
+        # a verbatim run has its slots as they are; else windows nearest to the shift come first
+        near.sort(key=lambda x: (verbatim and not x[1], abs(x[3]["pos"] - x[0] - shift), x[0], x[3]["pos"], x[2]))
+        there, back, held = {}, {}, set()
         fixed, differs = set(), False
-        for h in near:
-            if h["at"] in held:
+        for at, same, mask, h in near:
+            if at in held:
                 continue
-            value, found, slot = np.frombuffer(h["value"], np.uint64), np.frombuffer(h["found"], np.uint64), np.frombuffer(h["slot"], bool)
+            value, found, slot = np.frombuffer(h["value"], np.uint64), np.frombuffer(h["found"], np.uint64), np.frombuffer(mask, bool)
             pairs = list(zip(value[slot].tolist(), found[slot].tolist()))
             if any(there.get(a, c) != c or back.get(c, a) != a for a, c in pairs):
                 continue
             for a, c in pairs:
                 there[a], back[c] = c, a
-            fixed.update(value[~slot].tolist())
-            held[h["at"]] = equal = bool((value == found).all())
-            differs |= not equal
-        run = top = 0
-        for at in range(total):
-            run = run + 1 if held.get(at) else 0
-            top = max(top, run)
-        same = sum(held.values()) / total
+            fixed |= plain[at, mask]
+            held.add(at)
+            differs |= not same
         cover = len(held) / total
-        if top and (top + size - 1 >= min(RUN, words) or same >= 0.5):
+        if verbatim:
             said = ("verbatim", len(held), cover)
         elif cover >= COVER and differs and len(fixed) >= FIXED:
             said = ("reparameterised", len(held), cover)

@@ -183,6 +183,29 @@ def test_decontamination_of_new_parameters(spark):
     assert 4 not in out or out[4].n_windows < out[2].n_windows
 
 
+def hits_of(item, text):
+    """Words of item, and its windows that text has too, as decontaminate.judge takes them."""
+    import pyarrow as pa
+
+    rows = next(decontaminate._of_items(iter([pa.RecordBatch.from_pydict({"i": pa.array([1], pa.int64()), "t": [item]})]))).to_pylist()
+
+    class bits:
+        value = np.full(1 << decontaminate.BITS - 3, 255, np.uint8)
+
+    found = next(decontaminate._of_docs(bits, [rows[0]["size"]])(iter([pa.RecordBatch.from_pydict({"i": pa.array([1], pa.int64()), "t": [text]})]))).to_pylist()
+    return rows[0]["words"], [{**r, **x} for r in rows for x in found if r["w"] == x["w"]]
+
+
+def test_decontamination_behind_a_table_of_numbers():
+    item = " ".join(str(7 * k + 1000) for k in range(20))
+    table = " ".join(str(k) for k in range(40, 140))
+    assert decontaminate.judge(*hits_of(item, f"{table} {item}"))[0] == "verbatim"
+    assert decontaminate.judge(*hits_of(item, f"{table} {table}")) is None
+    quote = "the old miller counted every sack of grain that stood in his barn"
+    item = f"{' '.join(map(str, range(1, 31)))} then {quote} before winter came along the river"
+    assert decontaminate.judge(*hits_of(item, f"{table} and {quote} so it went"))[0] == "verbatim"
+
+
 def test_audio_round_trip(docs, texts):
     for r in audio.digests(docs).collect():
         raw = texts[r.doc_id].encode()
