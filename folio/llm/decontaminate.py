@@ -2,7 +2,8 @@
 
 A text is canonicalised to a template: numbers, names and units become typed placeholders, all other words their
 lower case. A number is a run of digits with inner points or commas; a unit is a word of UNITS right after a number;
-a name is a word with a capital first and lower case after it that doesn't open a sentence or line.
+a name is a word with a capital first and lower case after it. One that opens a sentence or line may be a name or not:
+a window that holds such a word is taken in both forms, with the word itself and with the placeholder.
 
 Windows of WINDOW template words (of the whole item, if that is shorter) of documents and items are hash-joined. A
 bitmap of fixed size over the items' window hashes, broadcast, first drops document windows that no item has; its
@@ -71,8 +72,9 @@ class _Ids(dict):
 _ids = _Ids()
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word of text: its hash in the template, the hash of its value, whether it is a slot."""
+def templates(text: str | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each word of text: its hash in the template, the hash of its value, whether it is a slot. First with words that
+    open a sentence or line as they are; then, if it differs, with those that have a capital as names."""
     tokens = TOKEN.findall(text) if text else ()
     if len(_ids) > _Ids.KEEP:
         _ids.clear()
@@ -80,28 +82,43 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value, kind = _ids.hash[at], _ids.kind[at]
     before = np.empty_like(kind)
     before[:1], before[1:] = _BREAK, kind[:-1]
-    slot = (kind == _NUMBER) | (kind == _TITLE) & (before != _BREAK) | (kind == _UNIT) & (before == _NUMBER)
+    title, inner = kind == _TITLE, before != _BREAK
+    fixed = (kind == _NUMBER) | (kind == _UNIT) & (before == _NUMBER)
     word = kind != _BREAK
-    made = np.where(slot, _SLOT[kind], value)
-    return made[word], value[word], slot[word]
+    out = []
+    for slot in (fixed | title & inner, fixed | title)[: 1 + bool((title & ~inner).any())]:
+        made = np.where(slot, _SLOT[kind], value)
+        out.append((made[word], value[word], slot[word]))
+    return out
 
 
 def _windows(made: np.ndarray, size: int) -> np.ndarray:
     return grams(made, size) if len(made) >= size else made[:0]
 
 
+def _forms(text: str | None, sizes: list[int] | None = None) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Size, number of words, windows, their places, values and slots: of the plain form, then of the other one where it differs."""
+    (made, value, slot), *more = templates(text)
+    for size in [min(WINDOW, len(made))] if sizes is None else sizes:
+        if not size:
+            continue
+        g = _windows(made, size)
+        yield size, len(made), g, np.arange(len(g)), value, slot
+        for other, _, names in more:
+            o = _windows(other, size)
+            at = np.flatnonzero(o != g)
+            yield size, len(made), o[at], at, value, names
+
+
 def _of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list] = [[] for _ in range(7)]
         for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            made, value, slot = template(text)
-            size = min(WINDOW, len(made))
-            if not size:
-                continue
-            for p, h in enumerate(_windows(made, size).astype(np.int64).tolist()):
-                part = slice(p, p + size)
-                for o, x in zip(out, (h, item, p, size, len(made), value[part].tobytes(), slot[part].tobytes())):
-                    o.append(x)
+            for size, words, g, at, value, slot in _forms(text):
+                for p, h in zip(at.tolist(), g.astype(np.int64).tolist()):
+                    part = slice(p, p + size)
+                    for o, x in zip(out, (h, item, p, size, words, value[part].tobytes(), slot[part].tobytes())):
+                        o.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["w", "item_id", "at", "size", "words", "value", "slot"])
 
 
@@ -113,13 +130,11 @@ def _of_docs(bits, sizes: list[int]):
         for b in batches:
             w, ids, at, values = [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                made, value, _ = template(text)
-                for size in sizes:
-                    g = _windows(made, size)
+                for size, _, g, at_, value, _ in _forms(text, sizes):
                     low = g & mask
                     hit = np.flatnonzero(have[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
-                    for p in hit.tolist():
-                        w.append(int(g[p].astype(np.int64)))
+                    for k, p in zip(hit.tolist(), at_[hit].tolist()):
+                        w.append(int(g[k].astype(np.int64)))
                         ids.append(doc)
                         at.append(p)
                         values.append(value[p : p + size].tobytes())

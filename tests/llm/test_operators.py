@@ -206,6 +206,15 @@ def test_decontamination_behind_a_table_of_numbers():
     assert decontaminate.judge(*hits_of(item, f"{table} and {quote} so it went"))[0] == "verbatim"
 
 
+def test_decontamination_of_names_that_open_sentences():
+    item = "Natalia sold 48 clips to her friends in April. Natalia then sold half as many clips in May. Natalia paid 5 dollars for lunch. How many clips did Natalia sell altogether in April and May?"
+    changed = item.replace("Natalia", "Marie").replace("48", "72")
+    assert decontaminate.judge(*hits_of(item, "Some words before. " + changed))[0] == "reparameterised"
+    item = "Anna has 5 apples in her bag. Tom gives Anna 3 more apples from his garden. Anna eats 2 of them on the way home. How many apples does Anna have now?"
+    assert decontaminate.judge(*hits_of(item, item.replace("Anna", "Bella").replace("Tom", "Jack")))[0] == "reparameterised"
+    assert decontaminate.judge(*hits_of(item, item))[:3:2] == ("verbatim", 1.0)
+
+
 def test_audio_round_trip(docs, texts):
     for r in audio.digests(docs).collect():
         raw = texts[r.doc_id].encode()
