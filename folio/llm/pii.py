@@ -8,10 +8,10 @@ The field looks at regions: runs of tokens around a digit or an at sign, to both
 segment is up to LONGEST tokens of a region with one label (email, ip, card, phone, id, or other for one token). Its
 score is the sum of weights of features of the whole span: number of digits and of tokens, Luhn, the mask of
 separators, form of an address with spelt or spaced dots, words before it. Viterbi over end, length and label chooses
-boundaries and types together. Weights are fitted by maximum likelihood (forward-backward over segments) on TRAIN
+boundaries and types together, over a whole region in one pass. Weights are fitted by maximum likelihood (forward-backward over segments) on TRAIN
 regions that a seeded generator writes and labels; no document is learned from. Added spans don't overlap base spans
-and end at letters or digits of the text. A region over REGION tokens is decoded in pieces with all their context, so
-time stays linear; texts are searched whole.
+and end at letters or digits of the text. A region goes on until no digit or at sign follows near, and is decoded whole,
+in time linear in its tokens; texts are searched whole.
 
 Null and empty texts have no spans. Each row gives one row, repeated rows too; other columns are ignored.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id")
-LONGEST, CONTEXT, REGION, TRAIN, SEED = 9, 3, 64, 240, 7
+LONGEST, CONTEXT, TRAIN, SEED = 9, 3, 240, 7
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)*+")
@@ -177,17 +177,18 @@ class Field:
     def __init__(self, weights: dict[tuple[str, str], float] | None = None):
         self.weights = weights or {}
 
+    def ending(self, tokens, b: int) -> list[tuple[int, str, list[str]]]:
+        """Start, label and features of each segment that ends at b."""
+        here = [(b - 1, "other", [])]
+        for a in range(max(0, b - LONGEST), b):
+            if _may(tokens, a, b):
+                fs = features(tokens, a, b)
+                here += [(a, k, fs) for k in KINDS if _fits(k, fs)]
+        return here
+
     def segments(self, tokens) -> list[list[tuple[int, str, list[str]]]]:
         """By end: start, label and features of each segment."""
-        out = []
-        for b in range(1, len(tokens) + 1):
-            here = [(b - 1, "other", [])]
-            for a in range(max(0, b - LONGEST), b):
-                if _may(tokens, a, b):
-                    fs = features(tokens, a, b)
-                    here += [(a, k, fs) for k in KINDS if _fits(k, fs)]
-            out.append(here)
-        return out
+        return [self.ending(tokens, b) for b in range(1, len(tokens) + 1)]
 
     def scored(self, by_end):
         get = self.weights.get
@@ -196,7 +197,8 @@ class Field:
     def decode(self, tokens) -> list[tuple[str, int, int]]:
         """Kind, start and end (in tokens) of the entities of the best segmentation."""
         best, back = [0.0], [None]
-        for b, here in enumerate(self.scored(self.segments(tokens)), 1):
+        for b in range(1, len(tokens) + 1):
+            (here,) = self.scored([self.ending(tokens, b)])
             score, seg = max(((best[a] + s, (a, k)) for a, k, s, _ in here), key=lambda x: x[0])
             best.append(score)
             back.append(seg)
@@ -301,25 +303,23 @@ def learn(n: int = TRAIN, seed: int = SEED, rounds: int = 12, rate: float = 0.5)
 
 
 def regions(text: str) -> Iterator[list[tuple[str, int, int]]]:
-    """Tokens of each region, at most REGION + 2 * LONGEST at a time; pieces of a longer one overlap by LONGEST."""
-    end = -1
+    """Tokens of each region, whole however long; regions whose surroundings touch are one."""
+    end = 0
     m = _OPEN.search(text)
     while m:
-        start = max(0, m.start() - 48, end)
-        stop = min(len(text), m.end() + 48)
-        while (m := _OPEN.search(text, m.end())) and m.start() < stop and stop - start < 16 * REGION:
-            stop = min(len(text), m.end() + 48)
+        start = max(m.start() - 48, end)
         # not within a word
-        while start > max(0, end) and text[start - 1].isalnum() and start > 0:
+        while start > end and text[start - 1].isalnum():
             start -= 1
-        while stop < len(text) and text[stop].isalnum() and stop - start < 32 * REGION:
-            stop += 1
+        stop = m.start()
+        while m and m.start() - 48 <= stop:
+            if m.end() + 48 > stop:
+                stop = min(len(text), m.end() + 48)
+                while stop < len(text) and text[stop].isalnum():
+                    stop += 1
+            m = _OPEN.search(text, m.end())
         end = stop
-        tokens = tokenise(text, start, stop)
-        for k in range(0, max(1, len(tokens)), REGION):
-            yield tokens[max(0, k - LONGEST) : k + REGION + LONGEST]
-        if m and m.start() < end:
-            m = _OPEN.search(text, end)
+        yield tokenise(text, start, stop)
 
 
 def spans_of(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -314,6 +314,18 @@ def test_pii_field_on_held_out_examples():
     assert not base and {k for k, _, _ in every} == {"phone", "email"}
 
 
+def test_pii_in_long_lists():
+    phones = [f"(200) {100 + k // 9000}-{1000 + k % 9000}" for k in range(1000)]
+    for sep in (", ", "\n"):
+        text = sep.join(phones)
+        _, every = pii.spans_of(text, pii.learn())
+        assert [text[a:b] for k, a, b in every if k == "phone"] == phones
+    text = "5 " + "x" * 42 + " jane.doe [at] example.com"
+    assert [t for tokens in pii.regions(text) for t in tokens] == pii.tokenise(text)
+    text = "y" * 100 + " z" * 20 + " 12 " + "y" * 300 + " 34"
+    assert [tokens[0][1] for tokens in pii.regions(text)] == [0]
+
+
 def test_bpe_equals_tiktoken(texts):
     import tiktoken
 
