@@ -4,7 +4,7 @@ Base spans are the leftmost non-overlapping matches of one pattern a kind (email
 its check (parts of an ip at most 255, 16 to 19 digits of a card that pass Luhn, 8 to 15 digits of a phone) is
 dropped without another try. The patterns are matched in time linear in the text.
 
-The field looks at regions: runs of tokens around a digit or an at sign, to both sides as far as CONTEXT tokens. A
+The field looks at regions: runs of tokens around a digit or an at sign, also a spelt one, to both sides as far as CONTEXT tokens. A
 segment is up to LONGEST tokens of a region with one label (email, ip, card, phone, id, or other for one token). Its
 score is the sum of weights of features of the whole span: number of digits and of tokens, Luhn, the mask of
 separators, form of an address with spelt or spaced dots, words before it. Viterbi over end, length and label chooses
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id")
-LONGEST, CONTEXT, TRAIN, SEED = 9, 3, 240, 7
+LONGEST, CONTEXT, TRAIN, SEED = 11, 3, 240, 7
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)*+")
@@ -104,8 +104,9 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 # The field.
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
-#: What opens a region: a digit, an at sign, or such a sign spelt in brackets.
-_OPEN = re.compile(r"[0-9@]|[\[({<]\s*at\s*[\])}>]", re.IGNORECASE)
+#: What opens a region: a digit, an at sign, such a sign spelt in brackets, or a bare one with a spelt dot within four
+#: words ("point", as in "at some point", only with a domain's ending after it).
+_OPEN = re.compile(r"[0-9@]|[\[({<]\s*at\s*[\])}>]|(?<![^\W_])at(?=(?:[\W_]{1,3}[^\W_]++){1,4}?[\W_]{1,3}(?:(?:dot|punkt|punto)(?![^\W_])|point[\W_]{1,3}(?:com|org|net|edu|gov|info|fr|de|eu|es)(?![^\W_])))", re.IGNORECASE)
 _LABELS = ("other", *KINDS)
 _CUES = {"email": "email mail contact courriel correo", "phone": "phone tel call mobile fax telefon téléphone teléfono cell", "card": "card visa mastercard karte carte tarjeta", "ip": "ip host server address", "id": "ssn passport id social insurance identity ausweis"}
 _CUE = {w: k for k, ws in _CUES.items() for w in ws.split()}
@@ -126,7 +127,9 @@ def features(tokens: list[tuple[str, int, int]], a: int, b: int) -> list[str]:
     part = tokens[a:b]
     digits = "".join(t for t, _, _ in part if t.isdigit())
     shape = [_shape(t) for t, _, _ in part]
-    bare = "".join(x for x in shape if x not in "[](){}<>")
+    # two words with a gap between them are no part of an address
+    gap = [False, *(x in "wd" and y in "wd" and q[1] > p[2] for x, y, p, q in zip(shape, shape[1:], part, part[1:]))]
+    bare = "".join(" " * g + x for g, x in zip(gap, shape) if x not in "[](){}<>")
     inner = "".join(sorted({x for x in shape[1:-1] if x not in "dw"}))
     n = len(digits)
     groups = [len(t) for t, _, _ in part if t.isdigit()]
@@ -292,7 +295,10 @@ def learn(n: int = TRAIN, seed: int = SEED, rounds: int = 12, rate: float = 0.5)
     for text, spans in examples(n, seed):
         tokens = tokenise(text)
         start, end = {t[1]: i for i, t in enumerate(tokens)}, {t[2]: i + 1 for i, t in enumerate(tokens)}
-        data.append((field.segments(tokens), [(k, start[a], end[b]) for k, a, b in spans if end[b] - start[a] <= LONGEST]))
+        gold = [(k, start[a], end[b]) for k, a, b in spans]
+        if any(b - a > LONGEST for _, a, b in gold):
+            raise ValueError(f"an entity of the examples has over {LONGEST} tokens: {text}")
+        data.append((field.segments(tokens), gold))
     for _ in range(rounds):
         for segments, gold in data:
             _, grad = field.gradient(segments, gold)
