@@ -8,7 +8,8 @@ tokens of a few sampled places split the sets over child nodes, each place being
 c / (similarity * EMBED), the same for all sets at the node. Nodes with one set end, nodes with at most `small` sets
 are compared by brute force, larger ones are split again, down to `DEPTH`. A pair of the least similarity meets on
 average c times at each level, so a run keeps it with probability at least s (the fixed point below, DEPTH deep), and
-as many runs are made as (1 - s) ** runs <= 1 - recall asks for.
+as many runs are made as (1 - s) ** runs <= 1 - recall asks for. Seeds of the roots are fixed, so runs whose root samples
+no place are left out, and runs go on until their roots have as many places in all as that number has on average.
 
 Brute force is in blocks: the sets of a node are dealt to blocks of BLOCK, and each pair of blocks is a task's work,
 so a node with a third of all sets is spread out. A pair is compared only in the first of its common nodes. First the
@@ -53,6 +54,25 @@ def runs(similarity: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - s)))
 
 
+def _rate(similarity: float) -> np.uint64:
+    return np.uint64(min(int(GAIN / (similarity * EMBED) * 2.0**64), 2**64 - 1))
+
+
+_PLACE = mix(np.arange(1000, 1000 + EMBED, dtype=np.uint64))
+
+
+def _roots(similarity: float, recall: float) -> list[int]:
+    """Seeds of the runs: those whose root samples a place, until the places are as many as `runs` takes on average."""
+    out, places, seed = [], 0, 0
+    while places < runs(similarity, recall) * min(EMBED, GAIN / similarity):
+        seed += 1
+        n = int((mix(mix(np.full(1, seed, np.uint64)) + _PLACE) < _rate(similarity)).sum())
+        if n:
+            out.append(seed)
+            places += n
+    return out
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct shingle hashes of text."""
     return np.unique(grams(word_hashes(text), words))
@@ -83,10 +103,9 @@ def _sketches(words: int):
     return run
 
 
-def _children(similarity: float, root: int | None):
-    """Rows of the child nodes of each (path, id, embed); with root, of the roots of so many runs."""
-    rate = np.uint64(int(GAIN / (similarity * EMBED) * 2.0**64))
-    place = mix(np.arange(1000, 1000 + EMBED, dtype=np.uint64))
+def _children(similarity: float, root: list[int] | None):
+    """Rows of the child nodes of each (path, id, embed); with root, of the roots with these seeds."""
+    rate, place = _rate(similarity), _PLACE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,7 +114,7 @@ def _children(similarity: float, root: int | None):
                 continue
             e = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(n, EMBED)
             ids = b.column(0).to_numpy()
-            paths = [mix(np.full(n, r + 1, np.uint64)) for r in range(root)] if root else [b.column(2).to_numpy().astype(np.uint64)]
+            paths = [mix(np.full(n, r, np.uint64)) for r in root] if root else [b.column(2).to_numpy().astype(np.uint64)]
             got, to = [], []
             for p in paths:
                 if root:
@@ -273,7 +292,7 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, re
     sets = written(sets.select("id", "n", "copies", "embed"), "sets")
 
     # nodes of the first level, then of each further one
-    at = written(sets.select("id", "embed").mapInArrow(_children(similarity, runs(similarity, recall)), "path long, id long"), "paths")
+    at = written(sets.select("id", "embed").mapInArrow(_children(similarity, _roots(similarity, recall)), "path long, id long"), "paths")
     leaves = None
     for depth in range(1, DEPTH + 1):
         # as a table, so that both sides of the join are plain exchanges, whose large partitions Spark splits

@@ -268,6 +268,31 @@ def test_ngram_join_splits_large_nodes(spark):
         assert r.n_links == sum(plain(s[r.doc_id], x) >= 0.8 for k, x in enumerate(s) if k != r.doc_id)
 
 
+def test_ngram_join_recall_below_large_nodes():
+    """Pairs of similarity 0.8 whose nodes of the first two levels are all large meet in a node of the third."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    n, e = 40_000, ngram_join.EMBED
+    a = rng.integers(0, 2**32, (n, e), np.uint32)
+    b = np.where(rng.random((n, e)) < 0.8, a, rng.integers(0, 2**32, (n, e), np.uint32))
+    roots = ngram_join._roots(0.8, 0.9999)
+    place = lambda r: (ngram_join.mix(ngram_join.mix(np.full(1, r, np.uint64)) + ngram_join._PLACE) < ngram_join._rate(0.8)).sum()
+    assert all(place(r) for r in roots) and sum(map(place, roots)) >= ngram_join.runs(0.8, 0.9999) * 1.25 / 0.8
+    met = np.zeros(n, bool)
+    for k in range(0, n, 4000):
+        rows = np.concatenate([a[k : k + 4000], b[k : k + 4000]])
+        ids, paths = np.arange(8000), None
+        for depth in range(ngram_join.DEPTH):
+            cols = [pa.array(ids), pa.array([rows[i].tobytes() for i in ids], pa.binary()), *([] if paths is None else [pa.array(paths)])]
+            batch = pa.RecordBatch.from_arrays(cols, names=["id", "embed", "path"][: len(cols)])
+            out = next(ngram_join._children(0.8, None if depth else roots)(iter([batch])))
+            paths, ids = out.column(0).to_numpy(), out.column(1).to_numpy()
+        left = {(i, p) for i, p in zip(ids.tolist(), paths.tolist()) if i < 4000}
+        met[[k + i - 4000 for i, p in zip(ids.tolist(), paths.tolist()) if (i - 4000, p) in left]] = True
+    assert (~met).sum() <= 4
+
+
 def test_token_counts_equal_plain_viterbi(docs, texts):
     import math
 
