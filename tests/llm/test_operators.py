@@ -356,7 +356,8 @@ def test_pii_spelt_addresses():
     for text, want in [("please contact john at example dot com", "john at example dot com"), ("mail jane.doe [at] example [dot] com", "jane.doe [at] example [dot] com"), ("mail jane12 (at) example (dot) org, please", "jane12 (at) example (dot) org")]:
         _, every = pii.spans_of(text, field)
         assert [(k, text[a:b]) for k, a, b in every] == [("email", want)]
-    assert not list(pii.regions("we met at some point in the year, at home, on the dot"))
+    assert not list(pii.regions("we met at some point in the year"))
+    assert pii.spans_of("we met at some point in the year, at home, on the dot", field) == ([], [])
 
 
 def test_bpe_equals_tiktoken(texts):
