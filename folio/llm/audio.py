@@ -11,6 +11,9 @@ Each segment gives one tensor of fixed shape (TIME, MELS), the mean log-mel of T
 span in seconds. The tensors of a recording are one Arrow record batch (columns start, end, tensor: arrow.fixed_shape_
 tensor) in an IPC stream, so any Arrow reader gets them as tensors. A recording without a segment has none.
 
+store() makes the media column and audio_features() the column of tensors; digests() writes both as tables to the
+shared folder and takes every value that it returns from what it reads back.
+
 Frames are computed in pieces of fixed size, from the recording alone, so equal payloads have equal features whatever
 the batch they are in. Null payloads count as empty; an empty recording has no frames and no segments. Repeated rows
 give as many result rows; other columns are ignored. Memory is bounded by the longest recording's samples.
@@ -28,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, UP, DOWN, TAPS = 8000, 1, 2, 8
+from folio.llm._shared import written
+
+RATE, UP, DOWN, TAPS = 8000, 3, 8, 8
 FRAME, HOP, N_FFT, MELS, TIME = 256, 128, 256, 24, 4
 HIGH, LOW = 0.6, 0.4
 PIECE = 1 << 16
@@ -151,51 +156,73 @@ def tensor_batch(spans: np.ndarray, tensors: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def padded(text: str | None) -> tuple[int, bytes]:
+    """UTF-8 bytes of text, and the same with zeros up to a positive multiple of PAD."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return len(raw), raw + b"\0" * (max(1, -(-len(raw) // PAD)) * PAD - len(raw))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        yield from (whole.slice(i, 128) for i in range(0, whole.num_rows, 128))
+
+
 def store(rows: DataFrame, payload: str = "payload") -> DataFrame:
-    """doc_id, media (WAV file) of each row's bytes."""
+    """doc_id, n_bytes, media (WAV file) of each row's bytes; a text is stored as its UTF-8 bytes, padded()."""
+    texts = rows.schema[payload].dataType.typeName() == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wav(x or b"") for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "media"])
+        for b in _parts(batches):
+            found = [padded(x) if texts else (len(x or b""), x or b"") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([wav(x) for _, x in found], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), payload).mapInArrow(run, "doc_id long, media binary")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), payload).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def audio_features(rows: DataFrame, media: str = "media") -> DataFrame:
-    """doc_id, n_segments, tensors (Arrow IPC stream) of each row's WAV file."""
+def audio_features(rows: DataFrame, media: str = "media", *also: str) -> DataFrame:
+    """doc_id, n_segments, tensors (Arrow IPC stream) of each row's WAV file; columns of `also` stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(i, 128) for i in range(0, whole.num_rows, 128)):
-                found = [features(samples(x)) if x else features(b"") for x in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s, _ in found], pa.int64()), pa.array([tensor_batch(*x) for x in found], pa.binary())], names=["doc_id", "n_segments", "tensors"])
+        for b in _parts(batches):
+            found = [features(samples(x)) if x else features(b"") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s, _ in found], pa.int64()), pa.array([tensor_batch(*x) for x in found], pa.binary()), *b.columns[2:]], names=["doc_id", "n_segments", "tensors", *also])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), media).mapInArrow(run, "doc_id long, n_segments long, tensors binary")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), media, *also)
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return rows.mapInArrow(run, f"doc_id long, n_segments long, tensors binary{kinds}")
 
 
-def padded(text: str | None) -> tuple[int, bytes]:
-    """UTF-8 bytes of text, and the same with zeros up to a positive multiple of PAD."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return len(raw), raw + b"\0" * (max(1, -(-len(raw) // PAD)) * PAD - len(raw))
+def described(tensors: bytes) -> str:
+    """Shape and digest of a stored column value: all tensors and time spans, rounded."""
+    t = pa.ipc.open_stream(tensors).read_all().combine_chunks()
+    values = t["tensor"].combine_chunks().to_numpy_ndarray() if len(t) else np.zeros((0, TIME, MELS), np.float32)
+    spans = np.stack([t["start"].to_numpy(), t["end"].to_numpy()], 1)
+    digest = hashlib.sha256(np.rint(values * 64).astype(np.int32).tobytes() + np.rint(spans * 1000).astype(np.int64).tobytes()).hexdigest()[:16]
+    return f"{len(t)}x{TIME}x{MELS}:{digest}"
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Of each text as audio: sizes and digests of the payload read back and of the file, and of its features."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-
-    def one(text):
-        n, payload = padded(text)
-        media = wav(payload)
-        back = samples(media)
-        spans, tensors = features(back)
-        digest = hashlib.sha256(np.rint(tensors * 64).astype(np.int32).tobytes() + np.rint(spans * 1000).astype(np.int64).tobytes()).hexdigest()[:16]
-        feature = f"{len(spans)}x{TIME}x{MELS}:{digest}"
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    media = written(store(docs.select("doc_id", "text"), "text"), "media", "zstd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = list(zip(*map(one, b.column(1).to_pylist()))) or [()] * 7
-            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(found, types))], names=names)
+        for b in _parts(batches):
+            files = b.column(1).to_pylist()
+            back = [samples(x) for x in files]
+            sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), b.column(2), pa.array(map(len, back), pa.int64()), sha(back), pa.array([zlib.crc32(x[-PAD:]) for x in back], pa.int64()), pa.array(map(len, files), pa.int64()), sha(files), b.column(3),
+            ], names=[n for n, _ in _DIGESTS])
+
+    found = media.select("doc_id", "media", "n_bytes", F.col("media").alias("file"))
+    found = audio_features(found, "media", "n_bytes", "file")
+    stored = written(found.select("doc_id", "file", "n_bytes", "tensors").mapInArrow(run, ", ".join(map(" ".join, _DIGESTS))), "audio-features", "zstd")
+
+    def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(map(described, b.column(7).to_pylist()), pa.string())], names=[*(n for n, _ in _DIGESTS[:-1]), "feature"])
+
+    return stored.mapInArrow(features_of, ", ".join(map(" ".join, _DIGESTS[:-1])) + ", feature string")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+_DIGESTS = (("doc_id", "long"), ("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("tensors", "binary"))

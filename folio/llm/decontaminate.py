@@ -6,8 +6,9 @@ a name is a word with a capital first and lower case after it. One that opens a
 a window that holds such a word is taken in both forms, with the word itself and with the placeholder.
 
 Windows of WINDOW template words (of the whole item, if that is shorter) of documents and items are hash-joined. A
-bitmap of fixed size over the items' window hashes, broadcast, first drops document windows that no item has; its
-false matches fall away in the join, which is a shuffle on the window hash whatever the size of the benchmark.
+bitmap of fixed size over the items' window hashes, made on the executors and broadcast, first drops document windows
+that no item has; its false matches fall away in the join, which is a shuffle on the window hash whatever the size of
+the benchmark.
 
 For a document and an item the windows are aligned along each shift between them. Slots are checked for consistency:
 over the aligned windows each slot value of the item must stand for one value in the document, and the other way
@@ -17,8 +18,9 @@ and as `reparameterised` when consistent windows cover at least COVER of the ite
 distinct words that aren't slots, and a slot's value differs.
 
 Result: one row a pair: doc_id, item_id, kind, n_windows (consistent ones), coverage (0 to 1). Null and empty texts,
-null doc_ids and items without words match nothing; repeated rows of a doc_id count as one document. Other columns
-are ignored. Documents are taken whole.
+null doc_ids and items without words match nothing. Each text of a repeated doc_id or item_id is judged by itself; the
+pair gets the best of what its texts give (verbatim first, then more windows, then the greater coverage). A null item_id
+is an id like any other. Other columns are ignored. Documents are taken whole; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm._shared import written
+from folio.llm._shared import bitmap, fresh, has, written
 from folio.llm._words import grams
 
 WINDOW, RUN, COVER, FIXED, SHIFT = 8, 13, 0.6, 8, 4
-BITS = 26
+BITS = 25
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l gal s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent kmh mph hz khz mhz ghz kb mb gb tb w kw v k c f meter meters metre metres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds litre litres liter liters".split())
 _PLAIN, _NUMBER, _TITLE, _UNIT, _BREAK = range(5)
@@ -112,33 +114,35 @@ def _forms(text: str | None, sizes: list[int] | None = None) -> Iterator[tuple[i
 
 def _of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: list[list] = [[] for _ in range(7)]
-        for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        out: list[list] = [[] for _ in range(8)]
+        for item, text, t in zip(*(b.column(i).to_pylist() for i in range(3))):
             for size, words, g, at, value, slot in _forms(text):
                 for p, h in zip(at.tolist(), g.astype(np.int64).tolist()):
                     part = slice(p, p + size)
-                    for o, x in zip(out, (h, item, p, size, words, value[part].tobytes(), slot[part].tobytes())):
+                    for o, x in zip(out, (h, item, t, p, size, words, value[part].tobytes(), slot[part].tobytes())):
                         o.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["w", "item_id", "at", "size", "words", "value", "slot"])
+        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["w", "item_id", "item", "at", "size", "words", "value", "slot"])
 
 
-def _of_docs(bits, sizes: list[int]):
-    mask = np.uint64((1 << BITS) - 1)
+def _place(w: np.ndarray) -> np.ndarray:
+    return w.view(np.uint64) >> np.uint64(64 - BITS)  # windows' hashes are mixed
+
 
+def _of_docs(bits, sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = bits.value
         for b in batches:
-            w, ids, at, values = [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            w, ids, texts, at, values = [], [], [], [], []
+            for doc, text, t in zip(*(b.column(i).to_pylist() for i in range(3))):
                 for size, _, g, at_, value, _ in _forms(text, sizes):
-                    low = g & mask
-                    hit = np.flatnonzero(have[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
+                    hit = np.flatnonzero(has(have, _place(g)))
                     for k, p in zip(hit.tolist(), at_[hit].tolist()):
                         w.append(int(g[k].astype(np.int64)))
                         ids.append(doc)
+                        texts.append(t)
                         at.append(p)
                         values.append(value[p : p + size].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(values, pa.binary())], names=["w", "doc_id", "pos", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(at, pa.int32()), pa.array(values, pa.binary())], names=["w", "doc_id", "doc", "pos", "found"])
 
     return run
 
@@ -208,23 +212,23 @@ def judge(words: int, hits: list[dict]) -> tuple[str, int, float] | None:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, kind, n_windows, coverage of each pair of a document and a benchmark item that it holds."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").dropDuplicates(["item_id"])
-    items = written(items.mapInArrow(_of_items, "w long, item_id long, at int, size int, words int, value binary, slot binary"), "item-windows")
-    # at most 2 ** BITS places, and WINDOW sizes
-    places = items.select(F.col("w").bitwiseAND((1 << BITS) - 1).cast("int").alias("b")).distinct().collect()
-    bits = np.zeros(1 << BITS - 3, np.uint8)
-    for r in places:
-        bits[r["b"] >> 3] |= 1 << (r["b"] & 7)
+    hashed = lambda rows, key: rows.select(F.col(key).cast("long").alias(key), "text", F.xxhash64("text").alias("t")).where("text IS NOT NULL")
+    items = hashed(benchmark, "item_id").dropDuplicates(["item_id", "t"])
+    items = written(items.mapInArrow(_of_items, "w long, item_id long, item long, at int, size int, words int, value binary, slot binary"), "item-windows")
+    # at most WINDOW sizes
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = rows.mapInArrow(_of_docs(spark.sparkContext.broadcast(bits), sizes), "w long, doc_id long, pos int, found binary")
+    bits = spark.sparkContext.broadcast(bitmap(items.select("w"), _place, BITS))
+    found = hashed(docs, "doc_id").where("doc_id IS NOT NULL").mapInArrow(_of_docs(bits, sizes), "w long, doc_id long, doc long, pos int, found binary")
     hits = found.join(items, "w").where(F.octet_length("found") == F.col("size") * 8)
     hit = F.struct("at", "pos", "size", "value", "found", "slot")
-    pairs = hits.groupBy("doc_id", "item_id", "words").agg(F.collect_list(hit).alias("hits"))
-    return pairs.mapInArrow(_judge, "doc_id long, item_id long, kind string, n_windows long, coverage double")
+    pairs = hits.groupBy("doc_id", "item_id", "words", "doc", "item").agg(F.collect_set(hit).alias("hits"))
+    said = pairs.select("doc_id", "item_id", "words", "hits").mapInArrow(_judge, "doc_id long, item_id long, kind string, n_windows long, coverage double")
+    best = F.max(F.struct((F.col("kind") == "verbatim").alias("v"), "n_windows", "coverage", "kind")).alias("best")
+    return said.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.kind", "best.n_windows", "best.coverage")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a leak, with the columns they had."""
-    away = written(leaks(docs, benchmark).select(F.col("doc_id").alias("__away")).distinct(), "leaks")
-    return docs.join(away, F.col("doc_id").cast("long") == F.col("__away"), "left_anti")
+    """The rows of docs without a leak, with the columns they had; of a doc_id that leaks, all rows go."""
+    (name,) = fresh(docs, "away")
+    away = written(leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct(), "leaks")
+    return docs.join(away, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -12,10 +12,11 @@ rejected when that cross-entropy is above what texts of that language and length
 sqrt(length) + slack, all three measured on a part of the sample that the models of that step didn't count. Texts
 that are null or have no letter are `und` and rejected.
 
-The models are fitted on a bounded sample: at most about `sample` whole labelled documents a language, those whose
-hash is lowest, so the driver holds the n-grams of so many texts whatever the table's size. Every document is
-predicted from its whole text. Rows with null lang are not learned from; without any labelled row all are `und`.
-Repeated rows give as many result rows; columns other than those named are never inputs.
+The models are fitted on a bounded sample: about `sample` whole labelled documents a language and TOTAL of all
+languages (LEAST of each at least), those whose hash is lowest, so the driver holds the n-grams of so many texts
+whatever the table's size. Every language is learned; more than MAX_LANGS distinct values are no languages, which is an
+error. Every document is predicted from its whole text. Rows with null lang are not learned from; without any labelled
+row all are `und`. Repeated rows give as many result rows; columns other than those named are never inputs.
 """
 
 from __future__ import annotations
@@ -34,12 +35,12 @@ from pyspark.sql import functions as F
 from folio.llm._words import mix
 
 ORDER = 5
-#: Documents of a language that the models are fitted on, and the characters of all of them that a task may count.
-SAMPLE = 1500
+#: Documents that the models are fitted on: of a language, of all languages, and of each one even then.
+SAMPLE, TOTAL, LEAST, MAX_LANGS = 1500, 100_000, 8, 10_000
 LETTERS = re.compile(r"[^\W\d_]+")
 START, END = "\x02", "\x03"
 _K = np.uint64(0x9E3779B97F4A7C15)
-#: Words whose scores a worker keeps, and characters of texts whose words it holds at a time.
+#: Words whose scores a worker keeps (under eight languages or fewer), and characters of texts whose words it holds at a time.
 KEEP, PART = 1 << 17, 1_000_000
 
 
@@ -135,6 +136,7 @@ class Identifier:
         self.langs = sorted(counts)
         self.models = [Model(counts[x]) for x in self.langs]
         self.limits = {x: (math.inf, 0.0, 0.0) for x in self.langs}
+        self.keep = KEEP * 8 // max(8, len(self.langs))
         self.memo: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.langs)), np.float32)
 
@@ -155,7 +157,7 @@ class Identifier:
         """Characters of each text, and its cross-entropy per character under each language."""
         found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
         new = {w for words in found for w in words if w not in self.memo}
-        if len(self.memo) + len(new) > KEEP:
+        if len(self.memo) + len(new) > self.keep:
             self.memo, self.scores = {}, self.scores[:0]
             new = {w for words in found for w in words}
         if new:
@@ -170,7 +172,7 @@ class Identifier:
                 chars[i] = sum(map(len, words)) + len(words)
                 at = np.fromiter(map(get, words), np.int64, len(words))
                 out[i] = -self.scores[at].sum(0, dtype=np.float64) / chars[i]
-        if len(self.memo) > KEEP:
+        if len(self.memo) > self.keep:
             self.memo, self.scores = {}, self.scores[:0]
         return chars, out
 
@@ -207,10 +209,12 @@ class Identifier:
     def calibrate(self, texts: list[str], langs: list[str], z: float) -> None:
         """The limits of rejection, from labelled texts that the models haven't counted."""
         chars, h = self.entropies(texts)
+        place = {x: k for k, x in enumerate(self.langs)}
+        of = np.array([place.get(x, -1) for x in langs], np.int64)
         for k, lang in enumerate(self.langs):
-            own = np.array([x == lang for x in langs], bool) & (chars > 0)
+            own = np.flatnonzero((of == k) & (chars > 0))
             n, x = chars[own], h[own, k]
-            if own.sum() < 4:
+            if len(own) < 4:
                 continue
             mean = float(np.median(x))
             deviation = float(np.median(np.abs(x - mean) * np.sqrt(n)) * 1.4826) * z
@@ -227,17 +231,28 @@ def _counts(texts: list[str]) -> Counter:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, z: float = 6.0) -> Identifier:
     """An identifier from rows with doc_id, text, lang. Of a language with n rows, those in the lowest sample / n of
-    hashes are taken, so about `sample` of each."""
+    hashes are taken, so about `sample` of each, and less where there are over TOTAL / sample languages."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(512).collect()}
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"lang has over {MAX_LANGS} values")
     if not sizes:
         return Identifier({})
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))]), F.col("lang"))
-    u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.where(F.col("lang").isin(*sizes)).where(u < rate).select("lang", "text").collect()
+    each = min(sample, max(LEAST, TOTAL // len(sizes)))
+    rates = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in sizes], "lang string, rate double")
+    key = F.coalesce(F.col("doc_id").cast("string"), "text")
+    u = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # at most MAX_LANGS rows are broadcast
+    picked = rows.withColumn("u", u).join(F.broadcast(rates), "lang").where("u < rate").select("lang", "text").collect()
     picked.sort(key=lambda r: (r["lang"], xxhash.xxh64_intdigest(r["text"].encode("utf-8", "surrogatepass")), r["text"]))
     counted, kept = picked[::2], picked[1::2]
-    by = lambda part: {lang: c for lang in sizes if (c := _counts([r["text"] for r in part if r["lang"] == lang]))}
+
+    def by(part) -> dict[str, Counter]:
+        texts: dict[str, list[str]] = {}
+        for r in part:
+            texts.setdefault(r["lang"], []).append(r["text"])
+        return {lang: c for lang, ts in texts.items() if (c := _counts(ts))}
+
     half = Identifier(by(counted))
     half.calibrate([r["text"] for r in kept], [r["lang"] for r in kept], z)
     out = Identifier(by(picked))

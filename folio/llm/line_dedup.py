@@ -12,8 +12,9 @@ run at either end of a partition may go on in the next; its rows pass on as open
 documents. Those rows, at most two a partition, are summed on the driver to decide the open runs.
 
 Positions come back together by document as a compressed bitmap (zlib over one bit a line, 1 for kept), which is what
-keep_bitmaps() returns; texts are not moved with the lines. Repeated rows of a doc_id with the same text count as one
-document and give as many result rows. A null doc_id is one document of its own. Other columns are ignored.
+keep_bitmaps() returns. Texts aren't moved with the lines, only once, when a bitmap meets its text. Repeated rows of a
+doc_id with the same text count as one document and give as many result rows. Rows with a null doc_id are one document
+together. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm._shared import sliced, written
+from folio.llm._shared import fresh, written
 
 BLANK = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -119,11 +120,12 @@ def _bitmap(positions: np.ndarray, n: int) -> bytes:
     return zlib.compress(np.packbits(keep).tobytes(), 1)
 
 
-def _with_positions(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
-    gone = dropped(docs, min_docs, min_chars).groupBy("doc_id", "t").agg(F.collect_set("pos").alias("gone"))
-    rows = docs.withColumn("__t", F.xxhash64("text")).withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)))
-    gone = gone.select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
-    return rows.join(gone, ["__d", "__t"], "left").drop("__d", "__t")
+def _with_positions(docs: DataFrame, min_docs: int, min_chars: int) -> tuple[DataFrame, str]:
+    """docs with the positions of the lines that go (null: none), and that column's name."""
+    d, t, gone = fresh(docs, "d", "t", "gone")
+    found = dropped(docs, min_docs, min_chars).groupBy(F.col("doc_id").alias(d), F.col("t").alias(t)).agg(F.collect_set("pos").alias(gone))
+    rows = docs.withColumn(t, F.xxhash64("text")).withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)))
+    return rows.join(found, [d, t], "left").drop(d, t), gone
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -137,7 +139,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(g or []) for g in gone], pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "n_lines", "n_dropped", "keep_bitmap"])
 
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-    rows = _with_positions(docs, min_docs, min_chars).select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("n"), "__gone")
+    rows, gone = _with_positions(docs.select("doc_id", "text"), min_docs, min_chars)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("n"), gone)
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, keep_bitmap binary")
 
 
@@ -151,8 +154,9 @@ def apply_bitmap(text: str | None, bitmap: bytes) -> str:
 def deduped(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with the kept lines as text, all other columns as they are; n_chars, if there, is that of the new text."""
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    out = _with_positions(docs, min_docs, min_chars).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
+    out, gone = _with_positions(docs, min_docs, min_chars)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    out = out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -171,7 +175,8 @@ def digests(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFram
                     o.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    rows = _with_positions(docs, min_docs, min_chars).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__gone")
+    rows, gone = _with_positions(docs.select("doc_id", "text"), min_docs, min_chars)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", gone)
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm._shared import sliced, written
+from folio.llm._shared import bitmap, fresh, has, sliced, written
 from folio.llm._words import grams, mix, word_hashes
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -347,28 +347,14 @@ def _place(ids: np.ndarray) -> np.ndarray:
 
 
 def _filter(rows: DataFrame):
-    """A bitmap of 2 ** FILTER_BITS bits of the ids of rows, broadcast. Its size is fixed: with many more ids than bits it
-    lets all through, which costs time and changes no result."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(_place(b.column(0).to_numpy()))
-            bit = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(bit)], names=["at", "bits"])
-
-    # at most 2 ** (FILTER_BITS - 6) numbers
-    found = rows.select("id").mapInArrow(words, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return rows.sparkSession.sparkContext.broadcast(bits)
+    """A bitmap of the ids of rows, broadcast."""
+    return rows.sparkSession.sparkContext.broadcast(bitmap(rows.select("id"), _place, FILTER_BITS))
 
 
 def _shingle_sets(rows: DataFrame, words: int, wanted) -> DataFrame:
     def run(batches):
         for whole in batches:
-            at = _place(whole.column(0).to_numpy())
-            hit = wanted.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
-            b = whole.take(pa.array(np.flatnonzero(hit)))
+            b = whole.take(pa.array(np.flatnonzero(has(wanted.value, _place(whole.column(0).to_numpy())))))
             for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
                 found = [shingles(t, words).tobytes() for t in part.column(1).to_pylist()]
                 h = [xxhash.xxh3_128_intdigest(x) for x in found]
@@ -379,5 +365,6 @@ def _shingle_sets(rows: DataFrame, words: int, wanted) -> DataFrame:
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs whose doc_id is the least of its group; rows with a null doc_id stay. Columns stay as they are."""
-    away = join(docs, words, similarity).where("class_id != doc_id").select(F.col("doc_id").alias("__away")).distinct()
-    return docs.join(written(away, "away"), F.col("doc_id").cast("long") == F.col("__away"), "left_anti")
+    (name,) = fresh(docs, "away")
+    away = join(docs, words, similarity).where("class_id != doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(written(away, "away"), F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -5,9 +5,10 @@ its check (parts of an ip at most 255, 16 to 19 digits of a card that pass Luhn,
 dropped without another try. The patterns are matched in time linear in the text.
 
 The field looks at regions: runs of tokens around a digit or an at sign, also a spelt one, to both sides as far as CONTEXT tokens. A
-segment is up to LONGEST tokens of a region with one label (email, ip, card, phone, id, or other for one token). Its
-score is the sum of weights of features of the whole span: number of digits and of tokens, Luhn, the mask of
-separators, form of an address with spelt or spaced dots, words before it. Viterbi over end, length and label chooses
+segment is up to LONGEST tokens of a region with one label (email, ip, card, phone, id, secret, or other for one token).
+Its score is the sum of weights of features of the whole span: number of digits and of tokens, Luhn, an IBAN's check, the
+mask of separators, form of an address with spelt or spaced dots, words before it. A run of 20 or more letters and digits
+is one token, a code: no number is looked for in it, and it is a secret where the words before it say so. Viterbi over end, length and label chooses
 boundaries and types together, over a whole region in one pass. Weights are fitted by maximum likelihood (forward-backward over segments) on TRAIN
 regions that a seeded generator writes and labels; no document is learned from. Added spans don't overlap base spans
 and end at letters or digits of the text. A region goes on until no digit or at sign follows near, and is decoded whole,
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "id")
+KINDS = (*BASE, "id", "secret")
 LONGEST, CONTEXT, TRAIN, SEED = 11, 3, 240, 7
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -103,18 +104,37 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # The field.
 
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
+#: A code needs a letter and a digit; the look-behind makes a run of letters and digits one try.
+_CODE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{20,}+(?![A-Za-z0-9])"
+_TOKEN = re.compile(rf"{_CODE}|[^\W\d_]+|[0-9]+|[^\w\s]|_")
 #: What opens a region: a digit, an at sign, such a sign spelt in brackets, or a bare one with a spelt dot within four
 #: words ("point", as in "at some point", only with a domain's ending after it).
 _OPEN = re.compile(r"[0-9@]|[\[({<]\s*at\s*[\])}>]|(?<![^\W_])at(?=(?:[\W_]{1,3}[^\W_]++){1,4}?[\W_]{1,3}(?:(?:dot|punkt|punto)(?![^\W_])|point[\W_]{1,3}(?:com|org|net|edu|gov|info|fr|de|eu|es)(?![^\W_])))", re.IGNORECASE)
 _LABELS = ("other", *KINDS)
-_CUES = {"email": "email mail contact courriel correo", "phone": "phone tel call mobile fax telefon téléphone teléfono cell", "card": "card visa mastercard karte carte tarjeta", "ip": "ip host server address", "id": "ssn passport id social insurance identity ausweis"}
+_CUES = {"email": "email mail contact courriel correo", "phone": "phone tel call mobile fax telefon téléphone teléfono cell", "card": "card visa mastercard karte carte tarjeta", "ip": "ip host server address", "id": "ssn passport id social insurance identity ausweis iban", "secret": "token secret key apikey password passwort bearer clave"}
 _CUE = {w: k for k, ws in _CUES.items() for w in ws.split()}
 _SPELT = {"at": "@", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
 
 
+#: Endings of domains that tell an address from words that only look like one.
+_ENDINGS = frozenset("com org net edu gov info io de fr es eu uk".split())
+
+
+def _code(token: str) -> bool:
+    return len(token) >= 20 and not token.isdigit() and not token.isalpha()
+
+
+def _iban(joined: str) -> bool:
+    """Whether joined is a country, two check digits and 11 to 30 more, whose remainder is 1."""
+    if not re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", joined):
+        return False
+    return int("".join(str(int(c, 36)) for c in joined[4:] + joined[:4])) % 97 == 1
+
+
 def _shape(token: str) -> str:
     low = token.lower()
+    if _code(token):
+        return "k"
     if token.isdigit():
         return "d"
     if low in _SPELT:
@@ -134,44 +154,40 @@ def features(tokens: list[tuple[str, int, int]], a: int, b: int) -> list[str]:
     n = len(digits)
     groups = [len(t) for t, _, _ in part if t.isdigit()]
     solid = all(y[1] - x[2] <= 1 for x, y in zip(part, part[1:]))
+    joined = "".join(t for t, _, _ in part)
+    code = shape == ["k"]
     out = [
         f"tokens={min(b - a, 9)}", f"digits={n if n < 20 else 20}", f"inner={inner}", f"solid={solid}", f"ends={shape[0]}{shape[-1]}", f"words={min(2, shape.count('w'))}",
         f"mask={'-'.join(map(str, groups)) if len(groups) < 6 and n and len(part) > 1 else ''}",
         f"address={bool(re.fullmatch(r'[wd]([._+-]?[wd])*@[wd](-?[wd])*(\.[wd]+)+', bare))}",
         f"luhn={n >= 12 and luhn(digits)}", f"quad={len(groups) == 4 and shape[1::2] == ['.'] * 3 and all(len(t) < 4 and int(t) < 256 for t, _, _ in part[::2])}",
+        f"iban={_iban(joined)}", f"code={min(len(joined), 64) // 8 if code else ''}", f"ending={part[-1][0].lower() in _ENDINGS}",
     ]
     cues = [_CUE.get(t.lower(), "") for t, _, _ in tokens[max(0, a - CONTEXT) : a]]
     out.append("cue=" + next((c for c in reversed(cues) if c), ""))
-    out.append("next=" + (shape_ if (shape_ := _shape(tokens[b][0])) != "w" else "") if b < len(tokens) and tokens[b][1] == part[-1][2] else "next=end")
+    out.append("next=" + _shape(tokens[b][0]) if b < len(tokens) and tokens[b][1] == part[-1][2] else "next=end")
     out.append("before=" + (_shape(tokens[a - 1][0]) if a and tokens[a - 1][2] == part[0][1] else "none"))
     return out
 
 
-def _may(tokens, a: int, b: int) -> bool:
-    """Whether tokens[a:b] can be an entity at all: it starts and ends with a letter or digit, or a plus or bracket
-    before digits, and holds a digit or an at sign; bounded gaps."""
-    first, last = tokens[a][0], tokens[b - 1][0]
-    if not (first[0].isalnum() or first in "+(") or not last[0].isalnum():
-        return False
-    part = tokens[a:b]
-    if any(y[1] - x[2] > 2 for x, y in zip(part, part[1:])):
-        return False
-    n = sum(len(t) for t, _, _ in part if t.isdigit())
-    return n >= 6 or any(t == "@" or t.lower() == "at" for t, _, _ in part)
-
-
 def _fits(kind: str, fs: list[str]) -> bool:
     """What a segment of this kind must be, whatever its weights: the field chooses among forms, it doesn't loosen them."""
     n = int(fs[1][7:])
-    if kind == "card":
-        return "luhn=True" in fs and 13 <= n <= 19
+    if "iban=True" in fs:
+        return kind == "id"
+    if "code=" not in fs:
+        return kind == "secret"
     if kind == "email":
         return "address=True" in fs
     if kind == "ip":
         return "quad=True" in fs
+    if "words=0" not in fs or "before=w" in fs or "next=w" in fs:
+        return False  # part of a longer run of letters and digits
+    if kind == "card":
+        return "luhn=True" in fs and 13 <= n <= 19
     if kind == "phone":
-        return 7 <= n <= 15 and "words=0" in fs and "address=False" in fs
-    return 7 <= n <= 12 and "words=0" in fs and "mask=" not in fs
+        return 7 <= n <= 15 and "address=False" in fs
+    return kind == "id" and 7 <= n <= 12 and "mask=" not in fs
 
 
 class Field:
@@ -181,12 +197,31 @@ class Field:
         self.weights = weights or {}
 
     def ending(self, tokens, b: int) -> list[tuple[int, str, list[str]]]:
-        """Start, label and features of each segment that ends at b."""
+        """Start, label and features of each segment that ends at b. An entity starts and ends with a letter or digit, or
+        starts with a plus or bracket, has no gap over two characters, and is a code, or holds an at sign or six digits
+        (and letters too only as an IBAN)."""
         here = [(b - 1, "other", [])]
-        for a in range(max(0, b - LONGEST), b):
-            if _may(tokens, a, b):
+        if not tokens[b - 1][0][-1].isalnum():
+            return here
+        n, at, words = 0, False, False
+        for a in range(b - 1, max(0, b - LONGEST) - 1, -1):
+            t, _, end = tokens[a]
+            if a < b - 1 and tokens[a + 1][1] - end > 2:
+                break
+            code = _code(t)
+            if code and a < b - 1:
+                break
+            if t.isdigit():
+                n += len(t)
+            elif t == "@" or t.lower() == "at":
+                at = True
+            elif t[0].isalpha():
+                words = True
+            if (t[0].isalnum() or t[0] in "+(") and (code or at or n >= 6 and (not words or len(t) == 2 and t.isupper())):
                 fs = features(tokens, a, b)
                 here += [(a, k, fs) for k in KINDS if _fits(k, fs)]
+            if code:
+                break
         return here
 
     def segments(self, tokens) -> list[list[tuple[int, str, list[str]]]]:
@@ -268,8 +303,21 @@ def examples(n: int = TRAIN, seed: int = SEED) -> list[tuple[str, list[tuple[str
     def phone():
         return rng.choice([lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"0{digits(2)} {digits(3)} {digits(4)}", lambda: f"+{digits(2)} {digits(3)} {digits(3)} {digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}"])()
 
-    make = {"card": card, "email": email, "phone": phone, "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "id": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"}
-    plain = [lambda: f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: digits(rng.randint(1, 12)), lambda: f"{digits(1)}.{digits(2)}.{digits(1)}", lambda: f"{digits(2)},{digits(3)}.{digits(2)}", lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: f"{digits(5)}-{digits(4)}", lambda: f"{word()} at {word()}", lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{digits(4)} {digits(4)}", lambda: digits(rng.randint(16, 24))]
+    def iban():
+        country, body = rng.choice(["DE", "FR", "ES", "GB"]), digits(rng.randint(14, 20))
+        number = next(x for c in range(2, 99) if _iban(x := f"{country}{c:02d}{body}"))
+        return rng.choice(["", " "]).join([number[i : i + 4] for i in range(0, len(number), 4)])
+
+    def code():
+        return "".join(rng.choice(rng.choice(["0123456789abcdef", "0123456789abcdefghijkLMNOPQRSTUVWXYZ"])) for _ in range(rng.choice([20, 24, 32, 40, 64])))
+
+    def secret():
+        mark = rng.choice([("", ""), ('"', '"'), ("'", "'")])
+        return rng.choice(_CUES["secret"].split()) + rng.choice([" ", ": ", " = ", "="]) + mark[0], code(), mark[1]
+
+    make = {"card": card, "email": email, "phone": phone, "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "id": lambda: rng.choice([iban, lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"])()}
+    plain = [lambda: f"{rng.choice(['commit', 'sha', 'file', 'see'])} {code()}", lambda: f"{word()} at {digits(2)} dot {word()}", lambda: f"{word()} at {word()} dot {word()}",
+             lambda: f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: digits(rng.randint(1, 12)), lambda: f"{digits(1)}.{digits(2)}.{digits(1)}", lambda: f"{digits(2)},{digits(3)}.{digits(2)}", lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: f"{digits(5)}-{digits(4)}", lambda: f"{word()} at {word()}", lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{digits(4)} {digits(4)}", lambda: digits(rng.randint(16, 24))]
     out = []
     for _ in range(n):
         text, spans = "", []
@@ -277,6 +325,12 @@ def examples(n: int = TRAIN, seed: int = SEED) -> list[tuple[str, list[tuple[str
             text += " ".join(word() for _ in range(rng.randint(1, 4))) + rng.choice([" ", ", ", ": "])
             if rng.random() < 0.6:
                 kind = rng.choice(KINDS)
+                if kind == "secret":
+                    before, x, after = secret()
+                    text += before
+                    spans.append((kind, len(text), len(text) + len(x)))
+                    text += x + after + rng.choice([" ", ". ", ", "])
+                    continue
                 if rng.random() < 0.5:
                     text += rng.choice(_CUES[kind].split()) + rng.choice([" ", ": "])
                 x = make[kind]()
@@ -356,19 +410,20 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 (of base spans), spans (all) of each row of docs."""
+    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 (of base spans), spans (all) and n_spans of each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(field or learn())
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            base, every = [], []
+            base, every, n = [], [], []
             for text in b.column(1).to_pylist():
                 x, y = spans_of(text or "", shared.value)
                 base.append(x)
                 every.append(joined(y))
+                n.append(len(y))
             counts = [pa.array([sum([k == kind for k, _, _ in x]) for x in base], pa.int64()) for kind in BASE]
             sha = [hashlib.sha256(joined(x).encode()).hexdigest() for x in base]
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(sha, pa.string()), pa.array(every, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(sha, pa.string()), pa.array(every, pa.string()), pa.array(n, pa.int64())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")

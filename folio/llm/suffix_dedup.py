@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm._shared import written
+from folio.llm._shared import has, written
 from folio.llm._words import grams, word_hashes
 from folio.llm.ngram_join import _filter, _place
 
@@ -107,8 +107,7 @@ def _windows(min_words: int, wanted=None):
                     s = np.unique(np.subtract.outer(np.array(hot, np.int64), np.arange(min_words - GRAM + 1)))
                     s = s[(s >= 0) & (s < len(g))]
                     if wanted is not None:
-                        k = _place(g[s])
-                        s = s[(wanted.value[k >> np.uint64(6)] >> (k & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                        s = s[has(wanted.value, _place(g[s]))]
                     elif found:
                         spans = np.array(_union(found), np.int64)
                         k = np.searchsorted(spans[:, 0], s, side="right") - 1

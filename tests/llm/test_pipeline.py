@@ -20,3 +20,21 @@ def test_stages(spark):
     assert not any(x in t for x in items for t in kept[3].values())
     out = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in out.collect()} == set(kept[3])
+
+
+def test_stages_on_nulls_and_repeats(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.limit(40)
+    odd = spark.createDataFrame([(10**9, None, None, None, None), (10**9 + 1, "", None, None, 0), (None, None, "en", "s", None), (10**9 + 2, "1 2 3", "xx", None, 5)], docs.schema)
+    rows = docs.unionByName(some).unionByName(odd)
+    whole = rows.count()
+    seen = [whole]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, SF)
+        assert rows.columns == docs.columns
+        seen.append(rows.count())
+    # rows without a language go first; a repeated row has one doc_id, so it stays or goes with the other
+    assert seen[1] == whole - 4 and seen == sorted(seen, reverse=True)
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).collect() == [], name
