@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import bpe, decontaminate, language_id, line_dedup, ngram_join
-from folio.llm._shared import table, written
+from folio.llm._shared import kept, scratch, table
 from folio.llm.queries import RANKS
 
 
@@ -45,5 +45,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, the last one's rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):  # what a stage wrote on its way goes; its result stays
+            docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
