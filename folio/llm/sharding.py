@@ -6,8 +6,8 @@ of all rows is at most `shards` cells. In each round every cell looks at the sha
 cells of its text), prefers the one that holds most of them, and moves there if that shard's quota admits it: its
 target size and SLACK of it more, so that documents can pass each other when shards are nearly full. Texts are admitted
 whole, in the order of their hash, so one that doesn't fit goes on to the next best shard in the next round; texts too
-large for a shard are admitted cell by cell. Rounds go on until no move is admitted. A round sees a matrix of loads of
-`shards` squared numbers on the driver, nothing that grows with the documents.
+large for a shard are admitted cell by cell. Rounds go on until one admits under a hundredth of the linked documents. On
+the driver a round sees `shards` squared times BINS sums, nothing that grows with the documents.
 
 Texts that quotas have kept apart until then, though they fit a shard, gather where most of their documents are. Then
 what is over is given back: shards with more linked documents than their target send pieces (all of a text that they
@@ -34,46 +34,43 @@ from pyspark.sql import functions as F
 
 from folio.llm._shared import shared_dir, written
 
-SLACK = 0.25
+SLACK, BINS = 0.25, 256
 
 
 def _propagated(cells: DataFrame, quota: list[int], giant: int) -> DataFrame:
-    """cells after rounds of moves under the quotas, until none is admitted."""
+    """cells after rounds of moves under the quotas, until a round admits under a hundredth of the linked documents."""
     shards = len(quota)
     linked = Window.partitionBy("t1", "t2")  # at most `shards` cells each
+    load = np.zeros(shards, np.int64)
+    for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect():
+        load[r["shard"]] = r["n"]
     k = 0
     while True:
-        load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        free = [max(0, t - load.get(s, 0)) for s, t in enumerate(quota)]
-        open_ = F.array(*[F.lit(f).cast("long") for f in free])
-        here = Window.partitionBy("t1", "t2", "shard")
-        wish = cells.withColumn("here", F.sum("n").over(here))
+        free = np.maximum(0, np.array(quota) - load)
+        open_ = F.array(*[F.lit(f).cast("long") for f in free.tolist()])
+        # one shuffle serves both windows
+        wish = cells.repartition("t1", "t2").withColumn("here", F.sum("n").over(Window.partitionBy("t1", "t2", "shard")))
         # of the neighbours' shards, one where most of the text can come together, then one that holds most of it
         fits = F.least("all", F.element_at(open_, F.col("shard") + 1) + F.col("here"))
         best = F.max(F.struct(fits.alias("fits"), "here", F.pmod(F.xxhash64("t1", "shard"), F.lit(1 << 30)).alias("tie"), F.col("shard").alias("shard"))).over(linked)
         wish = wish.withColumn("best", best)
         # a text that is admitted is whole and stays; cells of a large one move to larger parts of it only, so rounds end
         may = (F.col("best.shard") != F.col("shard")) & ((F.col("all") <= giant) | (F.col("best.here") > F.col("here")))
-        moves = wish.withColumn("to", F.when(may, F.col("best.shard")))
         unit = F.when(F.col("all") > giant, F.xxhash64("t1", "t2", "start", F.lit(k))).otherwise(F.xxhash64("t1", "t2", F.lit(k)))
-        moves = moves.withColumn("u", F.pmod(unit, F.lit(1024)).cast("int"))
-        # bins of the admission order: at most shards x 1024 numbers reach the driver
-        ask: dict[int, list[tuple[int, int]]] = {}
-        for r in moves.where("to IS NOT NULL").groupBy("to", "u").agg(F.sum("n").alias("n")).orderBy("to", "u").collect():
-            ask.setdefault(r["to"], []).append((r["u"], r["n"]))
-        below = []
-        for s in range(shards):
-            room, last = free[s], -1
-            for u, n in ask.get(s, []):
-                if n > room:
-                    break
-                room, last = room - n, u
-            below.append(last)
-        if max(below, default=-1) < 0:
+        moves = wish.withColumn("to", F.when(may, F.col("best.shard"))).withColumn("u", F.pmod(unit, F.lit(BINS)).cast("int"))
+        moves = written(moves.select("t1", "t2", "start", "n", "all", "shard", "to", "u"), "shard-moves")
+        # in bins of the admission order: at most shards x shards x BINS numbers reach the driver
+        asked = np.zeros((shards, shards, BINS), np.int64)
+        for s, t, u, n in map(tuple, moves.where("to IS NOT NULL").groupBy("shard", "to", "u").agg(F.sum("n").alias("n")).collect()):
+            asked[s, t, u] = n
+        into = asked.sum(0)
+        below = [int((np.cumsum(into[t]) <= free[t]).sum()) - 1 for t in range(shards)]
+        went = np.stack([asked[:, t, : below[t] + 1].sum(1) for t in range(shards)], 1)
+        admitted = F.col("to").isNotNull() & (F.col("u") <= F.element_at(F.array(*map(F.lit, below)), F.col("to") + 1))
+        cells = moves.select("t1", "t2", "start", "n", "all", F.when(admitted, F.col("to")).otherwise(F.col("shard")).alias("shard"))
+        load += went.sum(0) - went.sum(1)
+        if went.sum() * 100 <= load.sum():
             return cells
-        admitted = F.col("u") <= F.element_at(F.array(*[F.lit(b) for b in below]), F.col("to") + 1)
-        cells = moves.withColumn("shard", F.when(F.col("to").isNotNull() & admitted, F.col("to")).otherwise(F.col("shard")))
-        cells = written(cells.select("t1", "t2", "start", "n", "all", "shard"), "shard-cells")
         k += 1
 
 
