@@ -51,7 +51,8 @@ def truncate(c: Column | str, n: int) -> Column:
 
 
 def round_to(c: Column, step: float) -> Column:
-    return F.floor(c / F.lit(float(step)) + F.lit(0.5)) * F.lit(float(step))
+    """The multiple of step that half a step more is cut to, towards zero."""
+    return (c / F.lit(float(step)) + F.lit(0.5)).cast("long") * F.lit(float(step))
 
 
 def half_up(c: Column) -> Column:
@@ -143,7 +144,7 @@ def normal_form(c: Column | str) -> Column:
 
 def clauses(c: Column | str) -> Column:
     """Parts of at least 16 bytes between marks, longest first; equals stay in order."""
-    parts = F.filter(F.transform(F.split(_c(c), r"[.,;:\n!?—–|]"), F.trim), lambda x: F.octet_length(x) >= 16)
+    parts = F.filter(F.transform(F.split(_c(c), r"[.,;:\n!?—–|]"), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")), lambda x: F.octet_length(x) >= 16)
     keyed = F.transform(parts, lambda x, i: F.struct((-F.octet_length(x)).alias("n"), i.alias("i"), x.alias("x")))
     return F.transform(F.array_sort(keyed), lambda x: x["x"])
 
@@ -199,3 +200,71 @@ def snippet(c: Column, at: Column, width: int) -> Column:
     start = F.greatest(at - width // 3, F.lit(0))
     end = F.least(start + width, F.length(c))
     return F.concat(F.when(start > 0, "…").otherwise(""), F.trim(F.substring(c, start + 1, end - start)), F.when(end < F.length(c), "…").otherwise(""))
+
+
+# Strings of operators that prose doesn't have, typefaces of code, words of controls that nobody presses for a reader.
+CODE_TOKENS = ("{", "}", ";", "=>", "->", "::", "()", "):", "&&", "||", "==", "!=", "</", "/>")
+MONOSPACE = ("mono", "courier", "consolas", "menlo", "fira code", "source code")
+REFUSED = (
+    r"(?i)\b(18|21)\+?\b|over\s*(18|21)|of\s+legal\s+age|\bi\s*am\b|i'?m\s+over|accept|agree|consent|cookie|privacy|terms|gdpr|allow\s+all|sign\s*in|sign\s*up|log\s*in|register|subscribe|newsletter|\bbuy\b|purchase|checkout|add\s+to\s+(cart|bag)|\bpay\b|\border\b|donate|delete|remove|submit|\bsend\b|download|install"
+)
+SYMBOL = r"[!-/:-@\[-`{-~]"
+PROSE_SYMBOL = r"[.,'\-:?!]"
+
+
+def looks_like_code(c: Column | str) -> Column:
+    """Whether a run has the syntax of code: an operator, a flag, an identifier, or over 12 % symbols."""
+    c = _c(c)
+    operator = F.lit(False)
+    for t in CODE_TOKENS:
+        operator = operator | c.contains(t)
+    identifier = ~c.contains(" ") & (c.contains("_") | c.rlike(r"\p{Ll}.*\p{Lu}"))
+    symbols = count_matches(c, SYMBOL) - count_matches(c, PROSE_SYMBOL)
+    return operator | c.rlike("--[A-Za-z]") | identifier | (symbols > F.length(c) * F.lit(0.12).cast("double"))
+
+
+def monospace(family: Column | str) -> Column:
+    return F.lower(_c(family)).rlike("|".join(MONOSPACE))
+
+
+def refused(c: Column | str) -> Column:
+    """Whether a control's label asks for something that only a visitor may say."""
+    return _c(c).rlike(REFUSED)
+
+
+def cut_bytes(c: Column, n: int) -> Column:
+    """As many whole characters as n bytes hold."""
+    return F.rtrim(F.make_valid_utf8(F.substring(c.cast("binary"), 1, n).cast("string")), F.lit("\ufffd"))
+
+
+def excerpt(c: Column | str, n: int = 400) -> Column:
+    """White space collapsed, at most n bytes with the ellipsis."""
+    c = collapse(c)
+    return F.when(F.octet_length(c) <= n, c).otherwise(F.concat(cut_bytes(c, n - 3), F.lit("…")))
+
+
+def json_within(c: Column | str) -> Column:
+    """From the first brace to the last one, of what stands in a fence if there is one."""
+    c = F.trim(_c(c))
+    fenced = F.regexp_extract(c, r"(?s)```[^\n]*\n?(.*?)(?:```|$)", 1)
+    inner = F.when(c.contains("```"), fenced).otherwise(c)
+    braced = F.regexp_extract(inner, r"(?s)(\{.*\})", 1)
+    return F.when(braced != "", braced).otherwise(inner)
+
+
+def written_at(c: Column | str) -> Column:
+    """A time as RFC 3339 in UTC, to the second."""
+    return F.date_format(_c(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def noscript_warning(c: Column | str) -> Column:
+    c = F.lower(_c(c))
+    return c.rlike("javascript|js") & c.rlike("enable|require|need|turn on|activate|support")
+
+
+def literal_prose(c: Column | str) -> Column:
+    """Whether a script's string reads as a phrase: a space, and more letters than other ASCII characters."""
+    c = _c(c)
+    letters = count_matches(c, "[A-Za-z]") + F.octet_length(F.regexp_replace(c, r"[\x00-\x7f]", ""))
+    other = count_matches(c, r"[\x00-\x7f]") - count_matches(c, "[A-Za-z ]")
+    return (F.octet_length(c) <= 4096) & (letters > 0) & c.contains(" ") & (letters > other)

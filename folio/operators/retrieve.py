@@ -32,13 +32,26 @@ def first_page(rows: DataFrame, key: str, order: str, text: str, budget: int = 2
 
 def confirmed(candidates: DataFrame, corpus: DataFrame, text: str, body: str) -> DataFrame:
     """candidates with confirmed: whether a text of the corpus holds them, folded; under 12 bytes nothing is confirmed.
-    Candidates are few and meet the corpus as an array, in one pass over it; only a flag leaves the corpus."""
-    folded = T.normal_form(text)
-    few = candidates.select(F.col(text).alias("__t"), folded.alias("__f")).distinct()
-    held = few.where(F.octet_length("__f") >= 12).agg(F.collect_set("__f").alias("__all"))
-    hits = corpus.select(T.normal_form(body).alias("__b")).crossJoin(F.broadcast(held)).select(F.explode(F.filter("__all", lambda x: F.col("__b").contains(x))).alias("__f")).distinct()
-    found = hits.withColumn("__hit", F.lit(True))
-    return candidates.withColumn("__f", folded).join(found, "__f", "left").withColumn("confirmed", F.coalesce("__hit", F.lit(False))).drop("__f", "__hit")
+
+    A candidate's anchor is its longest inner word: a text that holds the candidate has the anchor as a word. Words of the texts
+    meet anchors in a hash join, and only pairs that share one are compared. Candidates without an inner word take their first
+    three characters and the texts' windows of three; that pass is made only if there are any."""
+    few = candidates.select(T.normal_form(text).alias("__f")).distinct().where(F.octet_length("__f") >= 12)
+    words = F.split("__f", " ")
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
+    few = few.withColumn("__a", F.array_min(inner)["w"])
+    texts = corpus.select(T.normal_form(body).alias("__b"))
+
+    def held(few: DataFrame, keys: Column) -> DataFrame:
+        said = texts.select("__b", F.explode(F.array_distinct(keys)).alias("__a")).join(few, "__a")
+        return said.where(F.col("__b").contains(F.col("__f"))).select("__f").distinct()
+
+    found = held(few.where("__a IS NOT NULL"), F.split("__b", " "))
+    short = few.where("__a IS NULL").withColumn("__a", F.substring("__f", 1, 3))
+    if not short.isEmpty():
+        found = found.unionByName(held(short, F.transform(F.sequence(F.lit(1), F.greatest(F.length("__b") - 2, F.lit(1))), lambda i: F.substr("__b", i, F.lit(3))))).distinct()
+    found = found.withColumn("__hit", F.lit(True))
+    return candidates.withColumn("__f", T.normal_form(text)).join(found, "__f", "left").withColumn("confirmed", F.coalesce("__hit", F.lit(False))).drop("__f", "__hit")
 
 
 def stability(a: DataFrame, b: DataFrame, text: str) -> DataFrame:
@@ -108,3 +121,76 @@ def crawl(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
         front = written(new.join(seen, "url", "left_anti").withColumn("depth", F.lit(d)), "crawl")
         seen = seen.unionByName(front)
     return seen
+
+
+def samples(a: DataFrame, b: DataFrame, text: str, most: int = 10, width: int = 80) -> DataFrame:
+    """side, sample: the first `most` texts, in order, that only one of two runs has, cut to `width` characters."""
+    own = lambda x, y, side: x.select(F.col(text).alias("sample")).distinct().join(y.select(F.col(text).alias("sample")).distinct(), "sample", "left_anti").orderBy("sample").limit(most).select(F.lit(side).alias("side"), T.truncate("sample", width).alias("sample"))
+    return own(a, b, "a").unionByName(own(b, a, "b"))
+
+
+def by_ids(blocks: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """The blocks whose key is wanted; speculative ones are left out."""
+    rows = blocks.join(wanted.select(*key).distinct(), list(key), "left_semi")
+    return rows.where("verified IS NULL OR verified != 'speculative'") if "verified" in blocks.columns else rows
+
+
+def section_blocks(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The blocks of the sections (page_id, section) that are wanted."""
+    return by_ids(blocks, wanted, "page_id", "section")
+
+
+def content_pages(rows: DataFrame, key: str, order: str, text: str, budget: int = 24_000) -> DataFrame:
+    """rows with page, from 0: in order, a page takes rows while their bytes fit the budget, one at least. A key's sizes are one array,
+    folded once."""
+    sized = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.octet_length(text).alias("n")))).alias("s"))
+    start = F.struct(F.lit(0).alias("page"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, x):
+        over = (acc["used"] > 0) & (acc["used"] + x["n"] > budget)
+        page = F.when(over, acc["page"] + 1).otherwise(acc["page"])
+        return F.struct(page.alias("page"), F.when(over, x["n"]).otherwise(acc["used"] + x["n"]).alias("used"), F.concat(acc["out"], F.array(page)).alias("out"))
+
+    pages = F.aggregate("s", start, step)["out"]
+    placed = sized.select(key, F.explode(F.arrays_zip(F.transform("s", lambda x: x["o"]).alias("o"), pages.alias("page"))).alias("x")).select(key, F.col("x.o").alias(order), F.col("x.page").alias("page"))
+    return rows.join(placed, [key, order])
+
+
+def snippets(rows: DataFrame, term: str, text: str, width: int = 160) -> DataFrame:
+    """rows that hold the term, with snippet: `width` characters round its first place."""
+    at = F.instr(F.lower(text), F.lit(term.lower())) - 1
+    return rows.where(at >= 0).withColumn("snippet", T.snippet(F.col(text), at, width))
+
+
+def site_links(links: DataFrame, root: Column, include: str = "") -> DataFrame:
+    """page_id, url, chrome of links (page_id, href, region) of the same host, http, without a query, whose path holds `include`; each as
+    a crawl counts it."""
+    from folio.functions import urls as U
+
+    href = F.col("href")
+    rows = links.where((U.host(href) == U.host(root)) & href.rlike("^(?i)https?://") & (U.query(href) == ""))
+    if include:
+        rows = rows.where(U.path_part(U.path(href)).contains(include.strip("/").lower()))
+    return rows.select("page_id", U.crawl_url(href).alias("url"), F.col("region").isin("nav", "header", "footer").alias("chrome")).distinct()
+
+
+def evicted(jobs: DataFrame, started: str, order: str, most: int = 64) -> DataFrame:
+    """The jobs that stay: those started last. A limit of each partition's rows comes first."""
+    return jobs.orderBy(F.desc(started), F.desc(order)).limit(most)
+
+
+def alive(state: DataFrame, key: str, at: str, now: Column, ttl: int) -> DataFrame:
+    """The latest row of each key that isn't older than ttl seconds and is ready."""
+    rows = state.groupBy(key).agg(F.max_by(F.struct(*[c for c in state.columns if c != key]), F.col(at)).alias("r")).select(key, "r.*")
+    return rows.where((F.unix_timestamp(now) - F.unix_timestamp(at) <= ttl) & F.col("ready"))
+
+
+def merged_memory(old: DataFrame, new: DataFrame, host: str = "host", rank: str = "rank") -> DataFrame:
+    """A tier memory and a run's, as one: the higher rank of each host."""
+    return old.select(host, rank).unionByName(new.select(host, rank)).groupBy(host).agg(F.max(rank).alias(rank))
+
+
+def inlined(rows: DataFrame, key: str, order: str, text: str, most: int = 1500) -> DataFrame:
+    """key, tokens, body: the texts of a key in order, where they are so few tokens that a manifest may carry them."""
+    out = rows.groupBy(key).agg(F.sum(T.tokens(text)).alias("tokens"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("s"))
+    return out.select(key, "tokens", F.when(F.col("tokens") <= most, F.array_join(F.transform("s", lambda x: x["t"]), "\n\n")).alias("body"))

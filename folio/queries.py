@@ -16,6 +16,7 @@ from folio.plans import escalation as E
 from folio.plans import outcome as O
 from folio.sources import structured as S
 from folio.sources.html import extract
+from folio.sources.store import written
 from folio.streaming import capture as C
 
 QUERIES: dict = {}
@@ -84,32 +85,37 @@ def _lines(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).select("doc_id", (F.col("p") + 1).alias("pos"), "line")
 
 
+def _extracted(spark, sf_dir):
+    """The pages' extract, written once: every use of it reads the table, no page is parsed twice."""
+    return written(extract(_t(spark, sf_dir, "pages")), "extract")
+
+
 # Pages.
 
 @query()
 def page_manifest(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages")
-    return G.manifest(pages, extract(pages))
+    return G.manifest(pages, _extracted(spark, sf_dir))
 
 
 @query()
 def page_blocks(spark, sf_dir):
-    return G.blocks(extract(_t(spark, sf_dir, "pages"))).select("page_id", "block_id", "ord", "type", "level", "region", "href", "text")
+    return G.blocks(_extracted(spark, sf_dir)).select("page_id", "block_id", "ord", "type", "level", "region", "confidence", "repeats", "href", "text")
 
 
 @query()
 def page_sections(spark, sf_dir):
-    return G.section_rows(G.blocks(extract(_t(spark, sf_dir, "pages"))))
+    return G.section_rows(G.blocks(_extracted(spark, sf_dir)))
 
 
 @query()
 def page_signals(spark, sf_dir):
-    return extract(_t(spark, sf_dir, "pages")).drop("fragments", "links", "media", "forms", "latent", "json_ld", "payloads", "og")
+    return extract(_t(spark, sf_dir, "pages")).drop("fragments", "links", "media", "forms", "buttons", "latent", "json_ld", "payloads", "og")
 
 
 @query()
 def page_content_hash(spark, sf_dir):
-    return G.content_hash(G.blocks(extract(_t(spark, sf_dir, "pages"))), "page_id", "ord", "type", "text")
+    return G.content_hash(G.blocks(_extracted(spark, sf_dir)), "page_id", "ord", "type", "text")
 
 
 @query(rf"SELECT page_id, length({_markup('html')}) AS markup_chars FROM pages")
@@ -424,8 +430,6 @@ def truncate_escape(spark, sf_dir):
 
 # Reading order, rendering and what lies outside the visible blocks.
 
-def _extracted(spark, sf_dir):
-    return extract(_t(spark, sf_dir, "pages"))
 
 
 @query()
@@ -448,9 +452,12 @@ def page_rendered(spark, sf_dir):
     return M.rendered(G.blocks(_extracted(spark, sf_dir)))
 
 
-@query()
+@query(rf"""WITH c AS (SELECT page_id, unnest(['nav', 'header', 'footer']) AS region, unnest([regexp_extract(html, '(?is)<nav[ >].*?</nav>'), regexp_extract(html, '(?is)<header[ >].*?</header>'), regexp_extract(html, '(?is)<footer[ >].*?</footer>')]) AS part FROM pages),
+r AS (SELECT page_id, region, unnest(regexp_extract_all(part, '>([^<]*)', 1)) AS raw, regexp_matches(part, '(?i)<a ') AS linked FROM c),
+t AS (SELECT DISTINCT page_id, region, {_collapse(_unescape(f"replace(replace(regexp_replace(raw, {_q(T.STRIPPED)}, '', 'g'), '&copy;', '©'), '&middot;', '·')"))} AS text, linked FROM r)
+SELECT page_id, region, text FROM t WHERE strlen(text) >= 12 AND NOT linked""")
 def page_furniture(spark, sf_dir):
-    return M.furniture(G.blocks(_extracted(spark, sf_dir))).select("page_id", "ord", "region", "text")
+    return M.furniture(G.blocks(_extracted(spark, sf_dir))).select("page_id", "region", "text")
 
 
 @query()
@@ -525,3 +532,6 @@ SELECT conv_id, turn, CASE WHEN len(ws) = 0 THEN contains(said, lower(text)) ELS
 def fact_coverage(spark, sf_dir):
     rows = _t(spark, sf_dir, "conversations").withColumn("said", F.lower(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))))
     return rows.where("said IS NOT NULL AND text IS NOT NULL").select("conv_id", "turn", T.fact_present(F.col("said"), F.col("text")).alias("present"))
+
+
+from folio import service_queries as _  # noqa: E402, F401  (registers its queries)

@@ -28,6 +28,12 @@ HINTS = ("nav", "menu", "header", "footer", "sidebar", "breadcrumb", "cookie", "
 SIZES = {"h1": (32.0, 700), "h2": (24.0, 700), "h3": (18.72, 700), "h4": (16.0, 700), "h5": (13.28, 700), "h6": (10.72, 700), "strong": (16.0, 700), "b": (16.0, 700), "small": (13.0, 400), "figcaption": (13.0, 400), "cite": (13.0, 400), "code": (15.0, 400), "pre": (15.0, 400), "kbd": (15.0, 400), "samp": (15.0, 400)}
 ROLES = {"navigation": "nav", "menu": "nav", "menubar": "nav", "banner": "header", "contentinfo": "footer", "main": "main", "complementary": "aside", "search": "form", "form": "form", "dialog": "dialog", "alertdialog": "dialog"}
 SHORT_RUN = 2
+MENU_ROLES = ("navigation", "menu", "menubar", "toolbar")
+FOLDED_PROSE = 120
+REFUSED = re.compile(
+    r"\b(18|21)\+?\b|over\s*(18|21)|of\s+legal\s+age|\bi\s*am\b|i'?m\s+over|accept|agree|consent|cookie|privacy|terms|gdpr|allow\s+all|sign\s*in|sign\s*up|log\s*in|register|subscribe|newsletter|\bbuy\b|purchase|checkout|add\s+to\s+(cart|bag)|\bpay\b|\border\b|donate|delete|remove|submit|\bsend\b|download|install",
+    re.IGNORECASE | re.ASCII,
+)
 
 
 class Node:
@@ -92,6 +98,8 @@ class _Builder(HTMLParser):
         in_head = tag in ("title", "meta", "link", "script", "style", "base", "template", "noscript")
         if self.body is None and not in_head:
             self._need_body()
+        if self.body is None and not self._open("head"):
+            self._push("head", {})
         if self.body is not None:
             if tag in CLOSES_P:
                 self._close_p()
@@ -183,6 +191,52 @@ def text_of(node: Node | str, skip: frozenset[str] = SKIP) -> str:
     return " ".join(text_of(c, skip) for c in node.children)
 
 
+UNREAD = frozenset("script style noscript template".split())
+
+
+def written_chars(node: Node) -> int:
+    """Characters of a subtree's markup once tags are stripped from it, escapes counted as they are written."""
+    said = _squeeze(text_of(node, UNREAD))
+    return len(said) + 4 * (said.count("&") + said.count('"') + said.count("'")) + 3 * (said.count("<") + said.count(">"))
+
+
+def folded_chars(node: Node) -> int:
+    """Characters of a shut region, 0 if it is something to navigate with or holds too little to read."""
+    if node.tag == "nav" or node.attrs.get("role", "").lower() in MENU_ROLES:
+        return 0
+
+    def linked(n: Node) -> int:
+        return written_chars(n) if n.tag in ("a", "button") else sum(linked(c) for c in n.children if isinstance(c, Node))
+
+    total = written_chars(node)
+    return total if total >= FOLDED_PROSE and 2 * linked(node) < total else 0
+
+
+def folded(root: Node) -> tuple[int, int]:
+    """Shut regions that hold prose, and their characters; a region within one is not counted again."""
+    shut: set[str] = set()
+    found: list[int] = []
+
+    def controls(n: Node) -> None:
+        if n.attrs.get("aria-expanded", "").lower() == "false" and not REFUSED.search(_squeeze(text_of(n))):
+            shut.update(n.attrs.get("aria-controls", "").split())
+        for c in n.children:
+            if isinstance(c, Node):
+                controls(c)
+
+    def regions(n: Node) -> None:
+        if n.tag == "details" and "open" not in n.attrs or n.attrs.get("aria-hidden", "").lower() == "true" or n.attrs.get("id", "") in shut:
+            found.append(folded_chars(n))
+            return
+        for c in n.children:
+            if isinstance(c, Node):
+                regions(c)
+
+    controls(root)
+    regions(root)
+    return sum(x > 0 for x in found), sum(found)
+
+
 def _squeeze(s: str) -> str:
     return " ".join(s.split())
 
@@ -212,7 +266,8 @@ def strip_comments(css: str) -> str:
 
 
 class Sheet:
-    """Simple selectors that hide; others are counted, not evaluated."""
+    """Simple selectors that hide; others are counted, not evaluated. Of one style element the first RULES rules count: a
+    fixed value that results depend on."""
 
     RULES = 4000
 
@@ -240,7 +295,7 @@ class Sheet:
 
 class Extractor:
     def __init__(self, html: str):
-        self.out = {k: [] for k in ("fragments", "links", "media", "forms", "latent", "json_ld", "payloads")}
+        self.out = {k: [] for k in ("fragments", "links", "media", "forms", "buttons", "latent", "json_ld", "payloads")}
         self.signals = Counter()
         self.html, self.title, self.lang, self.og = html, "", "", {}
         self.description = ""
@@ -250,6 +305,7 @@ class Extractor:
         marks = {"header": [], "footer": []}
         self._scan(root, False, marks)
         self.banner = {id(x) for x in marks["header"][:1] + marks["footer"][-1:]}
+        self.signals["folded_controls"], self.signals["folded_chars"] = folded(root)
         for c in root.children:
             if isinstance(c, Node):
                 self.walk(c, c.tag, "", "", "", 0, False, 0)
@@ -354,6 +410,8 @@ class Extractor:
             self.out["media"].append({"seq": len(self.out["media"]), "src": a.get("src") or a.get("data-src", ""), "alt": _squeeze(a.get("alt", "")), "title": _squeeze(a.get("title", "")), "decorative": a.get("alt") == ""})
         if n.tag == "form":
             self.form(n, landmark)
+        if n.tag == "button" and (label := _squeeze(text_of(n)) or _squeeze(a.get("aria-label", ""))):
+            self.out["buttons"].append({"seq": len(self.out["buttons"]), "label": label, "landmark": landmark, "disabled": "disabled" in a})
         if reason := self.hidden(n):
             self.harvest(n, 0)
             said = _squeeze(text_of(n))
@@ -431,11 +489,12 @@ class Extractor:
 
 
 _FRAGMENT = "array<struct<seq:int,line:int,path:string,block:string,tag:string,role:string,landmark:string,href:string,text:string,pad:int,size:double,weight:int,depth:int>>"
-_SIGNALS = ("text_chars", "text_runs", "short_runs", "headings", "paragraphs", "landmarks", "images", "canvases", "sheets", "script_bytes")
+_SIGNALS = ("folded_controls", "folded_chars", "text_chars", "text_runs", "short_runs", "headings", "paragraphs", "landmarks", "images", "canvases", "sheets", "script_bytes")
 SCHEMA = (
     f"page_id long, url string, title string, description string, lang string, og map<string,string>, fragments {_FRAGMENT}, "
     "links array<struct<seq:int,href:string,label:string,landmark:string>>, media array<struct<seq:int,src:string,alt:string,title:string,decorative:boolean>>, "
     "forms array<struct<seq:int,action:string,method:string,landmark:string,fields:array<struct<name:string,type:string,required:boolean>>>>, "
+    "buttons array<struct<seq:int,label:string,landmark:string,disabled:boolean>>, "
     "latent array<struct<seq:int,text:string,tag:string,reason:string,control:string>>, json_ld array<string>, payloads array<string>, "
     + ", ".join(f"{s} long" for s in _SIGNALS) + ", complex_rules long, html_bytes long, noscript boolean, hydration boolean"
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,13 @@ SNAPSHOT_VERSION = 1
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the folder of spark.checkpoint.dir (a temporary one if unset) and read back."""
+    """df, written to the folder of spark.checkpoint.dir and read back. Where that is unset, a temporary folder serves if the
+    executors are threads of the driver; on a cluster that is an error, as its machines don't see each other's folders."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^-\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/folio-{name}-{uuid.uuid4().hex}"
@@ -38,3 +42,13 @@ def write_snapshots(rows: DataFrame, path: str, private: str = "private", html:
 def write_artifacts(pages: DataFrame, path: str) -> None:
     """Result tables, committed as a whole."""
     pages.write.mode("errorifexists").parquet(path)
+
+
+def read_artifacts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Result tables that write_artifacts() made."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_hooks(lines: DataFrame, schema: str, most: int = 8 << 20) -> DataFrame:
+    """The payloads of lines (value), a batch or a stream of JSON texts of at most `most` bytes; others are null."""
+    return lines.select(F.when(F.octet_length("value") <= most, F.from_json("value", schema)).alias("payload")).select("payload.*")
