@@ -16,7 +16,7 @@ from folio.plans import escalation as E
 from folio.plans import outcome as O
 from folio.sources import structured as S
 from folio.sources.html import extract
-from folio.sources.store import written
+from folio.sources.store import spread, written
 from folio.streaming import capture as C
 
 QUERIES: dict = {}
@@ -81,8 +81,16 @@ def _unescape(x: str) -> str:
     return f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 
 
+def _texts(spark, sf_dir):
+    return spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _markups(spark, sf_dir):
+    return spread(_t(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def _lines(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).select("doc_id", (F.col("p") + 1).alias("pos"), "line")
+    return _texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).select("doc_id", (F.col("p") + 1).alias("pos"), "line")
 
 
 def _extracted(spark, sf_dir):
@@ -120,7 +128,7 @@ def page_content_hash(spark, sf_dir):
 
 @query(rf"SELECT page_id, length({_markup('html')}) AS markup_chars FROM pages")
 def page_markup_chars(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.length(T.markup_text("html")).alias("markup_chars"))
+    return _markups(spark, sf_dir).select("page_id", F.length(T.markup_text("html")).alias("markup_chars"))
 
 
 @query(rf"SELECT page_id, {_collapse(_unescape(r"regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"))} AS title FROM pages")
@@ -160,12 +168,12 @@ def site_manifest(spark, sf_dir):
 
 @query(rf"SELECT page_id, {_html_tokens('html')} AS raw_tokens, {_tokens(_markup('html'))} AS text_tokens FROM pages")
 def token_reduction(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", T.html_tokens("html").alias("raw_tokens"), T.tokens(T.markup_text("html")).alias("text_tokens"))
+    return _markups(spark, sf_dir).select("page_id", T.html_tokens("html").alias("raw_tokens"), T.tokens(T.markup_text("html")).alias("text_tokens"))
 
 
 @query(rf"SELECT page_id, strlen({_collapse(_VISIBLE)})::INTEGER AS visible_bytes FROM pages")
 def page_visible_bytes(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", T.visible_bytes("html").alias("visible_bytes"))
+    return _markups(spark, sf_dir).select("page_id", T.visible_bytes("html").alias("visible_bytes"))
 
 
 @query(rf"""WITH l AS (SELECT page_id, {_collapse(_unescape('label'))} AS label FROM {_HREFS}),
@@ -203,7 +211,7 @@ SELECT page_id, score, CASE WHEN score >= 0.75 AND e > 0 THEN 'recover' WHEN sco
 def escalation_decision(spark, sf_dir):
     count = T.count_matches
     scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), 1)
-    signals = _t(spark, sf_dir, "pages").select(
+    signals = _markups(spark, sf_dir).select(
         "page_id", F.octet_length("html").alias("html_bytes"), F.length(T.markup_text("html")).alias("text_chars"), count("html", "(?i)<h[1-6]").alias("headings"), count("html", "(?i)<p[ >]").alias("paragraphs"),
         count("html", "(?i)<(nav|main|aside)[ >]").alias("landmarks"), count("html", "(?i)<canvas").alias("canvases"), F.aggregate(scripts, F.lit(0), lambda n, x: n + F.octet_length(x)).alias("script_bytes"),
     )
@@ -213,7 +221,7 @@ def escalation_decision(spark, sf_dir):
 @query()
 def decision_factors(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages")
-    signals = extract(pages).join(pages.select("page_id", F.length(T.markup_text("html")).alias("markup_chars")), "page_id")
+    signals = extract(pages).join(_markups(spark, sf_dir).select("page_id", F.length(T.markup_text("html")).alias("markup_chars")), "page_id")
     return E.decide(signals).select("page_id", "score", "tier", "factors")
 
 
@@ -232,7 +240,7 @@ def crawl_bfs(spark, sf_dir):
 
 @query(rf"SELECT doc_id, {_collapse(_STRIPPED)} AS clean_text, {_n('text', T.STRIPPED)} AS removed, regexp_matches(text, {_q(T.BIDI)}) AS had_bidi, regexp_matches(text, {_q(T.INVISIBLE)}) AS had_invisible FROM documents")
 def clean_text_report(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", *T.clean_report("text"))
+    return _texts(spark, sf_dir).select("doc_id", *T.clean_report("text"))
 
 
 @query(rf"SELECT conv_id, turn, {_tokens('text')} AS n_tokens FROM conversations")
@@ -275,13 +283,13 @@ def sections(spark, sf_dir):
 @query(rf"""WITH t AS (SELECT doc_id, lower({_collapse('text')}) AS k FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n FROM t)
 SELECT doc_id, 's_' || substr(sha256(k), 1, 10) || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS section_id FROM r""")
 def section_ids(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").withColumn("n", F.row_number().over(Window.partitionBy(F.sha2(T.dedupe_key("text"), 256)).orderBy("doc_id")))
+    docs = _texts(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy(F.sha2(T.dedupe_key("text"), 256)).orderBy("doc_id")))
     return docs.select("doc_id", G.section_id(F.col("text"), F.col("n")).alias("section_id"))
 
 
 @query(rf"""SELECT doc_id, regexp_matches(lower(text), '{'|'.join(T.SHELL_MARKERS)}') OR {_n('text', "[A-Za-z][A-Za-z'-]+")} * 6 < 220 AS is_shell FROM documents""")
 def shell_response(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", T.shell("text").alias("is_shell"))
+    return _texts(spark, sf_dir).select("doc_id", T.shell("text").alias("is_shell"))
 
 
 @query("""WITH s AS (SELECT l_returnflag, floor(l_quantity / 0.5::DOUBLE + 0.5::DOUBLE) * 0.5::DOUBLE AS size, sum(l_linenumber) AS w FROM lineitem GROUP BY 1, 2),
@@ -308,7 +316,7 @@ def rank_agreement(spark, sf_dir):
 
 @query("""SELECT doc_id, score FROM (SELECT doc_id, ((contains(lower(text), 'the'))::INT + (contains(lower(text), 'tion'))::INT + (contains(lower(text), 'queen'))::INT) / 3.0::DOUBLE AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10""")
 def search_topk(spark, sf_dir):
-    return R.search(_t(spark, sf_dir, "documents"), "the tion queen", "text", "doc_id").select("doc_id", "score")
+    return R.search(_texts(spark, sf_dir), "the tion queen", "text", "doc_id").select("doc_id", "score")
 
 
 @query("""WITH r AS (SELECT *, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
@@ -369,7 +377,7 @@ def _normal(x: str) -> str:
 @query(f"""WITH b AS (SELECT item_id, text, {_normal('text')} AS f FROM benchmark), d AS (SELECT {_normal('text')} AS t FROM documents)
 SELECT item_id, strlen(f) >= 12 AND EXISTS (SELECT 1 FROM d WHERE contains(d.t, b.f)) AS confirmed FROM b""")
 def corpus_confirm(spark, sf_dir):
-    return R.confirmed(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "text", "text").select("item_id", "confirmed")
+    return R.confirmed(_t(spark, sf_dir, "benchmark"), _texts(spark, sf_dir), "text", "text").select("item_id", "confirmed")
 
 
 @query("""WITH a AS (SELECT DISTINCT text FROM documents WHERE source = 'src0'), b AS (SELECT DISTINCT text FROM documents WHERE source = 'src1'),
@@ -382,7 +390,7 @@ def stability_jaccard(spark, sf_dir):
 
 @query(r"SELECT regexp_replace(text, '\d[\d.,]*', 'N', 'g') AS reason_key, count(*) AS n, min_by(text, doc_id) AS example FROM documents GROUP BY 1")
 def failure_groups(spark, sf_dir):
-    return R.failure_groups(_t(spark, sf_dir, "documents"), "text", "doc_id")
+    return R.failure_groups(_texts(spark, sf_dir), "text", "doc_id")
 
 
 @query("SELECT conv_id, sha256(string_agg(role || chr(31) || text, chr(30) ORDER BY turn) || chr(30)) AS content_hash FROM conversations GROUP BY conv_id")
@@ -425,7 +433,7 @@ def stride_sample(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN length(text) > 80 THEN trim(substr(text, 1, 80)) || '…' ELSE text END AS cut, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;') AS escaped FROM documents")
 def truncate_escape(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", T.truncate("text", 80).alias("cut"), T.html_escape("text").alias("escaped"))
+    return _texts(spark, sf_dir).select("doc_id", T.truncate("text", 80).alias("cut"), T.html_escape("text").alias("escaped"))
 
 
 # Reading order, rendering and what lies outside the visible blocks.
@@ -517,7 +525,7 @@ d AS (SELECT doc_id, unnest({_KEYS.format(c=_collapse(_STRIPPED), t=_collapse('x
 SELECT doc_id, count(*) AS proof FROM d SEMI JOIN b USING (k) GROUP BY doc_id""")
 def adoption_proof(spark, sf_dir):
     known = _t(spark, sf_dir, "benchmark").select(F.explode(V.adoption_keys("text")).alias("k")).distinct()
-    keys = _t(spark, sf_dir, "documents").select("doc_id", F.explode(V.adoption_keys("text")).alias("k"))
+    keys = _texts(spark, sf_dir).select("doc_id", F.explode(V.adoption_keys("text")).alias("k"))
     return keys.join(known, "k", "left_semi").groupBy("doc_id").agg(F.count("*").alias("proof"))
 
 

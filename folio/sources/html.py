@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.sources.store import spread
+
 # Element sets and class hints.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset("script style noscript template head link meta svg iframe object embed".split())
@@ -501,7 +503,8 @@ SCHEMA = (
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url and what the kernel finds in html, as one row of arrays a page; null html counts as empty."""
+    """page_id, url and what the kernel finds in html, as one row of arrays a page; null html counts as empty. A table of fewer
+    partitions than cores is dealt out to all of them; a larger one is parsed where it is read."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -517,4 +520,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 rows = [one(*r) for r in zip(*(b.column(i).to_pylist() for i in range(3)))]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, SCHEMA)
+    return spread(pages.select(F.col("page_id").cast("long"), "url", "html")).mapInArrow(run, SCHEMA)

@@ -27,6 +27,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt out to all cores if they are of fewer partitions, as a table of one row group is; others, which a table of any
+    size is, stay where they are read. For costly expressions only; select the columns before."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if not rows.isStreaming and rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_snapshots(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Recorded captures (gzip JSON lines). A newer format version is an error, not a guess."""
     rows = spark.read.schema(f"format_version int, {schema}").json(path)
