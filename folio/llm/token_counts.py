@@ -1,6 +1,7 @@
 """Token counts under a unigram model, by dynamic programming over a trie of distinct pre-tokens.
 
-The distinct pre-tokens that a batch adds are inserted in a trie of bytes. One walk of the trie computes at each
+The distinct pre-tokens that a batch of texts adds are inserted in a trie of bytes, in sorted order, so that only the path to the node
+just made is held. This one walk computes at each
 node the best score of its prefix (the forward score) and the number of tokens of that best segmentation; a prefix
 shared by many pre-tokens is scored once, and the count at a terminal node is that of the pre-token. A unigram
 score is -log(rank + 2): the vocabulary's order stands for Zipf's law. Of segmentations with equal scores the one
