@@ -238,7 +238,15 @@ def sections(blocks: DataFrame, page: str = "page_id", order: str = "ord", headi
 
 def section_id(title: Column, ordinal: Column) -> Column:
     """Stable id of a title; the n-th section with the same title carries its number."""
-    base = F.concat(F.lit("s_"), F.substring(F.sha2(T.dedupe_key(title), 256), 1, 10))
+    return section_id_of(title_digest(title), ordinal)
+
+
+def title_digest(title: Column | str) -> Column:
+    return F.sha2(T.dedupe_key(title), 256)
+
+
+def section_id_of(digest: Column, ordinal: Column) -> Column:
+    base = F.concat(F.lit("s_"), F.substring(digest, 1, 10))
     return F.when(ordinal > 1, F.concat(base, F.lit("-"), ordinal.cast("string"))).otherwise(base)
 
 
@@ -255,8 +263,10 @@ def section_rows(blocks: DataFrame) -> DataFrame:
 
 
 def dense_levels(rows: DataFrame, page: str, level: str) -> DataFrame:
-    """rows with level_rank: used levels numbered without gaps."""
-    return rows.withColumn("level_rank", F.dense_rank().over(Window.partitionBy(page).orderBy(level)))
+    """rows with level_rank: used levels numbered without gaps. Only the distinct levels of a page are sorted."""
+    used = rows.select(F.col(page).alias("__page"), F.col(level).alias("__level")).distinct()
+    used = used.withColumn("level_rank", F.dense_rank().over(Window.partitionBy("__page").orderBy("__level")))
+    return rows.join(used, F.col(page).eqNullSafe(F.col("__page")) & F.col(level).eqNullSafe(F.col("__level"))).drop("__page", "__level")
 
 
 def boxes(rows: DataFrame) -> DataFrame:

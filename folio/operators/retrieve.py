@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.operators.ordered import blocks_of
 
 
 def search(rows: DataFrame, query: str, text: str, order: str, limit: int = 10, heading: Column | None = None) -> DataFrame:
@@ -87,10 +88,12 @@ def rate_slots(requests: DataFrame, host: str, at: str, order: str, delay: float
 
 
 def rank_agreement(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """For each key, the share of pairs at eight offsets of order a whose order in b agrees."""
-    w = Window.partitionBy(key).orderBy(a)
+    """For each key, the pairs at eight offsets of order a and those of them whose order in b agrees. a numbers a key's rows from 1
+    without gaps; they are compared block by block."""
     steps = (1, 2, 3, 5, 8, 13, 21, 34)
-    rows = rows.select(key, b, *[F.lead(b, k).over(w).alias(f"__{k}") for k in steps])
+    w = Window.partitionBy(key, "__b").orderBy(a)
+    rows = blocks_of(rows.select(key, a, b), a, after=max(steps))
+    rows = rows.select(key, b, "__own", *[F.lead(b, k).over(w).alias(f"__{k}") for k in steps]).where("__own")
     rows = rows.select(key, F.explode(F.array(*[(F.col(f"__{k}") > F.col(b)).cast("int") for k in steps])).alias("agree")).where("agree IS NOT NULL")
     return rows.groupBy(key).agg(F.count("*").alias("pairs"), F.sum("agree").alias("agreeing"))
 

@@ -12,6 +12,7 @@ from folio.operators import graph as G
 from folio.operators import reading_order as L
 from folio.operators import recover as V
 from folio.operators import retrieve as R
+from folio.operators.ordered import blocks_of, numbered
 from folio.plans import escalation as E
 from folio.plans import outcome as O
 from folio.sources import structured as S
@@ -283,8 +284,8 @@ def sections(spark, sf_dir):
 @query(rf"""WITH t AS (SELECT doc_id, lower({_collapse('text')}) AS k FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n FROM t)
 SELECT doc_id, 's_' || substr(sha256(k), 1, 10) || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS section_id FROM r""")
 def section_ids(spark, sf_dir):
-    docs = _texts(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy(F.sha2(T.dedupe_key("text"), 256)).orderBy("doc_id")))
-    return docs.select("doc_id", G.section_id(F.col("text"), F.col("n")).alias("section_id"))
+    docs = numbered(_texts(spark, sf_dir).select("doc_id", G.title_digest("text").alias("k")), "n", "k", "doc_id")
+    return docs.select("doc_id", G.section_id_of(F.col("k"), F.col("n")).alias("section_id"))
 
 
 @query(rf"""SELECT doc_id, regexp_matches(lower(text), '{'|'.join(T.SHELL_MARKERS)}') OR {_n('text', "[A-Za-z][A-Za-z'-]+")} * 6 < 220 AS is_shell FROM documents""")
@@ -309,8 +310,8 @@ def level_dense_rank(spark, sf_dir):
 k AS (SELECT unnest([1, 2, 3, 5, 8, 13, 21, 34]) AS k), p AS (SELECT r.o_orderpriority, (s.b > r.b)::INT AS agree FROM r, k JOIN r AS s ON s.o_orderpriority = r.o_orderpriority AND s.a = r.a + k.k)
 SELECT o_orderpriority, count(*) AS pairs, sum(agree)::BIGINT AS agreeing FROM p GROUP BY 1""")
 def rank_agreement(spark, sf_dir):
-    w = Window.partitionBy("o_orderpriority")
-    rows = _t(spark, sf_dir, "orders").select("o_orderpriority", F.row_number().over(w.orderBy("o_orderkey")).alias("a"), F.row_number().over(w.orderBy("o_orderdate", "o_orderkey")).alias("b"))
+    rows = numbered(_t(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_orderdate"), "a", "o_orderpriority", "o_orderkey")
+    rows = numbered(rows, "b", "o_orderpriority", "o_orderdate", "o_orderkey")
     return R.rank_agreement(rows, "o_orderpriority", "a", "b")
 
 
@@ -401,11 +402,14 @@ def content_hash(spark, sf_dir):
 @query("""SELECT doc_id, substr(sha256(text), 1, 32) AS text_hash, CASE WHEN doc_id % 5 = 0 THEN 'not-modified' WHEN doc_id % 5 = 1 THEN 'etag-match' WHEN p IS NOT NULL AND p = text THEN 'raw-match' WHEN p IS NOT NULL AND lower(p) = lower(text) THEN 'text-match' ELSE 'changed' END AS verdict
 FROM (SELECT doc_id, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents)""")
 def change_verdict(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").withColumn("p", F.lag("text").over(Window.partitionBy("source").orderBy("doc_id")))
-    same = lambda a, b: F.coalesce(a == b, F.lit(False))
+    """Each document against the one before it of its source. Digests are compared, so no text is moved."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("raw"), F.sha2(F.lower("text"), 256).alias("low"))
+    w = Window.partitionBy("source", "__b").orderBy("n")
+    docs = blocks_of(numbered(docs, "n", "source", "doc_id"), "n", before=1)
+    same = lambda c: F.coalesce(F.lag(c).over(w) == F.col(c), F.lit(False))
+    docs = docs.withColumn("same_raw", same("raw")).withColumn("same_low", same("low")).where("__own")
     i = F.col("doc_id")
-    said = O.change(i % 5 == 0, i % 5 == 1, same(F.col("p"), F.col("text")), same(F.lower("p"), F.lower("text")))
-    return docs.select("doc_id", F.substring(F.sha2("text", 256), 1, 32).alias("text_hash"), said.alias("verdict"))
+    return docs.select("doc_id", F.substring("raw", 1, 32).alias("text_hash"), O.change(i % 5 == 0, i % 5 == 1, F.col("same_raw"), F.col("same_low")).alias("verdict"))
 
 
 _FACTS = "list_filter(list_transform(string_split(lower({c}), ' '), lambda w: trim(w, '.,;:!?\"''()')), lambda w: strlen(w) >= 4 AND NOT list_contains(['{s}'], w))"
@@ -426,8 +430,9 @@ def condition_metrics(spark, sf_dir):
 SELECT source, doc_id FROM l WHERE (n - 1) % greatest(c // 30, 1) = 0 AND (n - 1) // greatest(c // 30, 1) < 30""")
 def stride_sample(spark, sf_dir):
     """Every n-th row of a group, thirty at most: the sampling operator itself."""
-    w = Window.partitionBy("source")
-    rows = _t(spark, sf_dir, "documents").withColumn("i", F.row_number().over(w.orderBy("doc_id")) - 1).withColumn("s", F.greatest(F.floor(F.count("*").over(w) / 30), F.lit(1)))
+    rows = numbered(_t(spark, sf_dir, "documents").select("source", "doc_id"), "n", "source", "doc_id")
+    sizes = rows.groupBy(F.col("source").alias("of")).agg(F.max("n").alias("size"))
+    rows = rows.join(sizes, F.col("source").eqNullSafe(F.col("of"))).withColumn("i", F.col("n") - 1).withColumn("s", F.greatest(F.floor(F.col("size") / 30), F.lit(1)))
     return rows.where((F.col("i") % F.col("s") == 0) & (F.floor(F.col("i") / F.col("s")) < 30)).select("source", "doc_id")
 
 
