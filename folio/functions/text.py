@@ -13,6 +13,7 @@ STRIPPED = r"[\p{Cf}\x{fffd}\x{e0000}-\x{e007f}\x{e0100}-\x{e01ef}]"
 WIDE = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{20000}-\x{2ebef}]"
 HIDDEN_ELEMENTS = tuple(rf"(?is)<{t}[^>]*>.*?</{t}>" for t in ("script", "style", "noscript", "template"))
 TAG = r"(?s)<[^>]+>"
+TITLE = r"(?is)<title>(.*?)</title>"
 STOP_WORDS = ("the", "and", "that", "this", "with", "from", "have", "has", "was", "were", "they", "their", "there", "which", "what", "when", "where", "page", "site", "about")
 SHELL_MARKERS = ("you need to enable javascript", "enable javascript to run this app", "please enable javascript", "javascript is required", "this site requires javascript", "just a moment", "checking your browser", "verifying you are human", "enable cookies and reload", "access denied", "attention required")
 
@@ -88,6 +89,19 @@ def html_tokens(c: Column | str) -> Column:
     return half_up((F.octet_length(c) - dense) / F.lit(2.9) + dense / F.lit(2.3))
 
 
+def unescape(c: Column | str) -> Column:
+    """The five escapes of markup, as they are written in full, decoded once; anything else stays as it is."""
+    c = _c(c)
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def markup_title(html: Column | str) -> Column:
+    """The first title as the markup has it: a browser also reads an escape that was cut short (&amp), this leaves it."""
+    return collapse(unescape(F.regexp_extract(_c(html), TITLE, 1)))
+
+
 def markup_text(c: Column | str) -> Column:
     """What a plain strip of tags leaves, white space (ASCII) collapsed."""
     c = _c(c)

@@ -165,6 +165,17 @@ def test_artifact_has_all_sections(spark, page):
     assert "## Behind: More\n\n- `[h_001]` More Hidden words. <!--" in hidden
 
 
+def test_page_titles_equal_their_sql_on_odd_markup(spark, tmp_path):
+    import duckdb
+
+    odd = ["<title>cut &amp;&amp</title>", "<title>&amp;lt; &lt &copy; &#39;&quot;&gt;</title>", "<TITLE>\n a\u00a0\u3000b\x0b </TITLE><title>c</title>", "<title lang=en>d</title>", "<!--<title>e</title>-->", "<title>open", "<title></title>", "<title><b>f</b></title>", "<svg><title>g</title></svg>", "", None]
+    spark.createDataFrame(list(enumerate(odd)), "page_id long, html string").withColumn("url", F.lit("http://e.com/")).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in QUERIES["page_titles"](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(c.execute(ORACLES["page_titles"]).fetchall()) and got[0][1] == "cut &&amp" and got[-1][1] is None
+
+
 def test_titles_and_summaries(spark):
     from folio.sources.html import extract
 
