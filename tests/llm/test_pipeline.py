@@ -1,3 +1,7 @@
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from folio.llm import language_id
 
@@ -38,3 +42,26 @@ def test_stages_on_nulls_and_repeats(spark, tmp_path):
     none = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).collect() == [], name
+
+
+@pytest.mark.parametrize("told", [None, "9m"])
+def test_stages_hold_few_bytes_of_text_at_a_time(spark, told):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    wide = spark.range(0, 12_000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(limit)
+        if told:
+            spark.conf.set(limit, told)
+        try:
+            stage(spark, none, SF)
+            rows = wide.mapInArrow(sizes, "n long, size long").collect()
+        finally:
+            spark.conf.unset(limit)
+        assert sum(r.n for r in rows) == 12_000, name
+        assert max(r["size"] for r in rows) < (10 << 20 if told else 5 << 20), name
+        assert not told or max(r["size"] for r in rows) > 8 << 20, name
